@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, packing, token_files, tokens
+from . import common, decontamination, language_id, packing, token_files, tokens, toxicity
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,15 +16,29 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    held = common.held_out("doc_id", 4, 2)
+    labels = common.table(spark, sf_dir, "labels").filter(~held)
+    out = toxicity.score(docs, toxicity.train(docs.filter(~held), labels))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", "worst_sentence", "worst_score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-files")
     token_files.write(common.table(spark, sf_dir, "documents"), path, tokens.default_path("word_bpe_49k.json"))
     return token_files.digests(spark, path)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = decontamination.find(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op7_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}
