@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language_id, packing, token_files, tokens, toxicity
+from . import common, decontamination, html_text, language_id, licenses, packing, pii, quality, token_files, tokens, toxicity
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(common.table(spark, sf_dir, "documents")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.only(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return html_text.main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +50,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge(quality.ledger(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing)}
 ORACLES: dict[str, str] = {}
