@@ -5,7 +5,7 @@ around it holds boilerplate (navigation, adverts, notices, forms, comments) or
 where the page has an article or main element and the word stands outside. A
 tag costs its weight: labelled pages, those of a bounded sample that mark their
 article, tell how much more often each tag stands outside the article than in
-it. Inside a marked article a tag costs next to nothing. One linear scan finds
+it (boilerplate apart). Inside a marked article a tag costs next to nothing. One linear scan finds
 the contiguous run of tokens with the largest sum; its blocks, less any
 boilerplate within, are the text.
 
@@ -31,7 +31,7 @@ from . import common
 
 #: Pages that the weights are learned from at most (chosen by a hash of page_id).
 TRAIN_PAGES = 5_000
-LEAST, MOST, INSIDE = 0.2, 8.0, 0.01
+LEAST, MOST, INSIDE = 0.05, 8.0, 0.01
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -170,7 +170,7 @@ def train(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> dict[str, float]:
             for page in batch.column(0).to_pylist():
                 walk = Walk(page)
                 if walk.marked:
-                    sums.update((v, m and not d) for k, v, d, m, _ in walk.items if k == "tag" and (v in BLOCK or v in INLINE))
+                    sums.update((v, m) for k, v, d, m, _ in walk.items if k == "tag" and not d and (v in BLOCK or v in INLINE))
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums]), pa.array([m for _, m in sums]), pa.array(list(sums.values()), pa.int64())], names=["tag", "inside", "n"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, html_text, language_id, licenses, packing, pii, quality, token_files, tokens, toxicity
+from . import common, decontamination, html_text, jaccard, language_id, licenses, packing, pii, quality, token_files, tokens, toxicity
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(common.table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.only(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return html_text.main_text(pages).select("page_id", "url", "text", "n_chars")
@@ -59,5 +63,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op3_ngram_jaccard, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing)}
 ORACLES: dict[str, str] = {}
