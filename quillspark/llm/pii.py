@@ -158,13 +158,17 @@ def train(groups: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 300
     return weights
 
 
-def classify(found: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """candidates() with spans: base ones, and weak ones that the trained classifier accepts."""
+def accepted(found: DataFrame, threshold: float = 0.5) -> list[str]:
+    """Trains on all candidates; the (kind, votes, long) that the classifier accepts, as text."""
     groups = found.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes", "c.long").agg(F.count("*").alias("n")).collect()
     rows = sorted((g["kind"], tuple(g["votes"]), g["long"], g["n"]) for g in groups)
     weights = train(rows) if rows else {}
-    accepted = sorted({f"{k}:{','.join(map(str, v))}:{n}" for k, v, n, _ in rows if sum(weights[f] for f in _features(k, v, n)) >= math.log(threshold / (1 - threshold))})
-    taken: Column = F.array(*map(F.lit, accepted)) if accepted else F.array().cast("array<string>")
+    return sorted({f"{k}:{','.join(map(str, v))}:{n}" for k, v, n, _ in rows if sum(weights[f] for f in _features(k, v, n)) >= math.log(threshold / (1 - threshold))})
+
+
+def with_spans(found: DataFrame, names: list[str]) -> DataFrame:
+    """candidates() with spans: base ones, and those whose (kind, votes, long) is accepted."""
+    taken: Column = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
 
     def stays(c: Column) -> Column:
         return c["base"] | F.array_contains(taken, F.concat_ws(":", c["kind"], F.array_join(F.transform(c["votes"], lambda v: v.cast("string")), ","), c["long"].cast("string")))
@@ -174,7 +178,32 @@ def classify(found: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, row and spans: array of (kind, s, e, base, votes, long), ordered by kind as in KINDS, then start."""
-    return classify(common.stored(candidates(docs), "pii-candidates"))
+    found = common.stored(candidates(docs), "pii-candidates")
+    return with_spans(found, accepted(found))
+
+
+_REDACTED = """
+transform(array(array_sort(spans, (a, b) -> case when a.s < b.s or (a.s = b.s and a.e > b.e) then -1 when a.s = b.s and a.e = b.e then 0 else 1 end)), xs ->
+  transform(array(aggregate(xs, struct(0 as at, cast(array() as array<string>) as out), (acc, x) ->
+    if(x.e <= acc.at, acc, struct(x.e as at, concat(acc.out, array(
+      if(x.s >= acc.at, concat(substr(text, acc.at + 1, x.s - acc.at), '[', upper(x.kind), ']'), ''))) as out)))), acc ->
+    concat(array_join(acc.out, ''), substr(text, acc.at + 1)))[0])[0]
+"""
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with each span replaced by its kind in brackets, and n_chars, where there is one, counted anew.
+
+    Spans that overlap are replaced together, under the first one's kind. A null text stays null.
+    """
+    names = docs.columns
+    taken = accepted(candidates(docs))
+    spans = F.expr("concat(" + ", ".join(map(_spans, KINDS)) + ")")
+    found = with_spans(docs.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("cands", spans), taken)
+    out = found.withColumn("text", F.expr(f"if(size(spans) = 0, text, {_REDACTED})"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
 
 
 def digest(found: DataFrame) -> DataFrame:
