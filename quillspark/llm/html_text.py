@@ -5,7 +5,7 @@ around it holds boilerplate (navigation, adverts, notices, forms, comments) or
 where the page has an article or main element and the word stands outside. A
 tag costs its weight: labelled pages, those of a bounded sample that mark their
 article, tell how much more often each tag stands outside the article than in
-it (boilerplate apart). Inside a marked article a tag costs next to nothing. One linear scan finds
+it (boilerplate apart; a tag that they lack costs the least). Inside a marked article a tag costs next to nothing. One linear scan finds
 the contiguous run of tokens with the largest sum; its blocks, less any
 boilerplate within, are the text.
 
@@ -146,7 +146,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if kind == "text":
             total += len(value.split()) * (-1 if away else 1)
         else:
-            total -= INSIDE if walk.marked and in_main and not dropped else weights.get(value, 1.0)
+            total -= INSIDE if walk.marked and in_main and not dropped else weights.get(value, LEAST)
         if total < low:
             low, start = total, i + 1
         if total - low > best or total - low == best and best_range[0] == start and best > 0:
