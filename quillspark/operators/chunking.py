@@ -6,6 +6,8 @@ whose next step depends on the one before, run per document or page in pandas.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +30,26 @@ def word_windows(docs: DataFrame, key: str, body: str = "text", window: int = WI
 
 
 def packed(blocks: DataFrame, key: str, order: str, most: int = text.MAX_TOKENS, target: int = TARGET_TOKENS) -> DataFrame:
-    """blocks (key, order, tokens) with chunk: closed when the next block would exceed `most` and `target` is reached."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        chunk, size, out = 0, 0, []
-        for tokens in pdf["tokens"]:
-            if size and size + tokens > most and size >= target:
-                chunk, size = chunk + 1, 0
-            size += tokens
-            out.append(chunk)
-        return pdf.assign(chunk=out)
+    """blocks (key, order, tokens) with chunk: closed when the next block would exceed `most` and `target` is reached.
+
+    The fold runs along sorted partitions, batch by batch, so that a long key costs time but no memory.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, chunk, size = None, 0, 0
+        for pdf in batches:
+            out = []
+            for name, tokens in zip(pdf[key], pdf["tokens"], strict=True):
+                if name != current:
+                    current, chunk, size = name, 0, 0
+                elif size + tokens > most and size >= target:
+                    chunk, size = chunk + 1, 0
+                size += tokens
+                out.append(chunk)
+            yield pdf.assign(chunk=out)
 
     schema = blocks.withColumn("chunk", F.lit(0)).schema
-    return blocks.groupBy(key).applyInPandas(fold, schema)
+    return blocks.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)
 
 
 def clusters(boxes: DataFrame, page: str, least_gap: float = 18.0, share: float = 0.02) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from ..functions import text
 #: Rows that a query arm gives and that fusion keeps.
 ARM, FUSED = 40, 18
 RRF_CONSTANT = 60
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 4096
 # English stop words of the keyword arm.
 STOP_WORDS = tuple(
     "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
@@ -50,25 +56,44 @@ def by_keyword(chunks: DataFrame, queries: DataFrame, k: int = ARM) -> DataFrame
     return top(hits, "query_id", "score", "chunk_id", k)
 
 
-def normalised(vector: Column) -> Column:
-    """The vector at length 1; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm))
+def unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero rows stay."""
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norm == 0, 1, norm)
 
 
-def by_vector(points: DataFrame, queries: DataFrame, k: int = ARM) -> DataFrame:
+def by_vector(points: DataFrame, queries: DataFrame, k: int = ARM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine neighbours.
 
-    queries is a stated, small set: it is broadcast, every point meets every query once in a scan of the points, and
-    each task keeps its own best k of a query before the exchange.
+    The stated queries are taken in blocks of about `block`: each is broadcast and meets every point in one scan, as a
+    matrix product per batch, of which a task keeps a query's best k. Vectors have one length; nulls are left out.
     """
-    q = F.broadcast(queries.select("query_id", normalised(F.col("vector")).alias("q")))
-    p = points.select("chunk_id", normalised(F.col("vector")).alias("p"))
-    dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = p.join(q, F.lit(True)).select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
-    part = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), F.asc("chunk_id"))
-    local = scored.withColumn("part", F.spark_partition_id()).withColumn("at", F.row_number().over(part)).filter(F.col("at") <= k).drop("part", "at")
-    return top(local, "query_id", "score", "chunk_id", k)
+    spark = points.sparkSession
+    queries = queries.select("query_id", "vector").filter("query_id is not null and vector is not null")
+    points = points.select("chunk_id", "vector").filter("chunk_id is not null and vector is not null")
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        asked = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), unit(np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), -1))))
+
+        def best(batches: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
+            names, q = asked.value
+            ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            for pdf in batches:
+                if not len(names) or not len(pdf):
+                    continue
+                found = np.round(q @ unit(np.array(pdf["vector"].tolist(), np.float64)).T, 6)
+                ids = np.concatenate([ids, np.broadcast_to(pdf["chunk_id"].to_numpy(), found.shape)], axis=1)
+                scores = np.concatenate([scores, found], axis=1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+            if ids.size:
+                yield pd.DataFrame({"query_id": np.repeat(names, ids.shape[1]), "chunk_id": ids.ravel(), "score": scores.ravel()})
+
+        part = points.mapInPandas(best, "query_id bigint, chunk_id bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, "query_id", "score", "chunk_id", k)
 
 
 def fuse(arms: list[tuple[DataFrame, float]], k: int = FUSED) -> DataFrame:

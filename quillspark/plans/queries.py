@@ -29,6 +29,10 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+# What orders of documents and events never fall along, for two-level windows.
+MONTH = "date_trunc('month', created_at)"
+DAY = "date_trunc('day', ts)"
+
 # The views of views.py in SQL, put in front of the queries that use them.
 DOCUMENTS = """documents_ as (select o_custkey as project, o_orderkey as document_id, o_orderdate as created_at,
   case when o_orderstatus = 'F' then o_orderdate end as superseded_at, pages
@@ -55,23 +59,23 @@ PAGES = """pages_ as (select l_suppkey as project, l_orderkey * 10 + l_linenumbe
 
 @query(f'with {OFFSETS} select project, document_id, "offset" as page_offset, pages from offsets')
 def combined_offset(spark, d):
-    return numbering.offsets(views.documents(spark, d), "project", ["created_at", "document_id"]).select("project", "document_id", F.col("offset").alias("page_offset"), "pages")
+    return numbering.offsets(views.documents(spark, d), "project", F.expr(MONTH), ["created_at", "document_id"]).select("project", "document_id", F.col("offset").alias("page_offset"), "pages")
 
 
 @query(f'with {OFFSETS} select project, document_id, cast(n as int) as page_number, "offset" + n as combined_page from (select *, unnest(range(1, pages + 1)) as n from offsets)')
 def page_manifest(spark, d):
-    return numbering.manifest(views.documents(spark, d), "project", "document_id", ["created_at", "document_id"])
+    return numbering.manifest(views.documents(spark, d), "project", "document_id", F.expr(MONTH), ["created_at", "document_id"])
 
 
 @query(f'with {OFFSETS} select project, combined_page, document_id, cast(combined_page - "offset" as int) as page_number from offsets join (select c_custkey as project, c_custkey % 20 + 1 as combined_page from customer) using (project) where combined_page > "offset" and combined_page <= "offset" + pages')
 def manifest_lookup(spark, d):
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 20 + 1).alias("combined_page"))
-    return numbering.lookup(views.documents(spark, d), wanted, "project", "document_id", ["created_at", "document_id"])
+    return numbering.lookup(views.documents(spark, d), wanted, "project", "document_id", F.expr(MONTH), ["created_at", "document_id"])
 
 
 @query(f'with {OFFSETS}, rule as (select project, document_id, "offset" + 1 as expected from offsets), stored as (select project, document_id, case when document_id % 3 = 0 then 0 else expected end as combined_page from rule) select document_id, combined_page as stored, expected from stored join rule using (project, document_id) where combined_page is distinct from expected')
 def numbering_disagreements(spark, d):
-    rule = numbering.offsets(views.documents(spark, d), "project", ["created_at", "document_id"]).select("document_id", (F.col("offset") + 1).alias("combined_page"))
+    rule = numbering.offsets(views.documents(spark, d), "project", F.expr(MONTH), ["created_at", "document_id"]).select("document_id", (F.col("offset") + 1).alias("combined_page"))
     stored = rule.select("document_id", F.expr("if(document_id % 3 = 0, 0L, combined_page)").alias("combined_page"))
     return numbering.disagreements(stored, rule, ["document_id"])
 
@@ -89,22 +93,22 @@ def series_gaps(spark, d):
 @query("with e as (select event_id, user_id, ts, case when event_id % 3 = 0 then event_type end as discipline from events) select event_id, coalesce(last_value(discipline ignore nulls) over w, first_value(discipline ignore nulls) over v, 'unclassified') as filled from e window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row), v as (partition by user_id order by ts, event_id rows between current row and unbounded following)")
 def fill_unresolved(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", F.expr("if(event_id % 3 = 0, event_type, null)").alias("discipline"))
-    return numbering.filled(rows, "user_id", ["ts", "event_id"], "discipline").select("event_id", "filled")
+    return numbering.filled(rows, "user_id", F.expr(DAY), ["ts", "event_id"], "discipline").select("event_id", "filled")
 
 
 @query("select o_orderkey, cast(floor((row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1) / 10) as bigint) as section from orders")
 def section_batches(spark, d):
-    return numbering.batches(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("section").cast("bigint").alias("section"))
+    return numbering.batches(table(spark, d, "orders"), "o_custkey", F.date_trunc("month", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("section").cast("bigint").alias("section"))
 
 
 @query("with r as (select event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as k, greatest(1, count(*) over (partition by user_id) // 5) as step from events) select event_id from r where k % step = 0 and k / step < 5")
 def stride_sample(spark, d):
-    return numbering.stride_sample(table(spark, d, "events"), "user_id", ["ts", "event_id"], 5).select("event_id")
+    return numbering.stride_sample(table(spark, d, "events"), "user_id", F.expr(DAY), ["ts", "event_id"], 5).select("event_id")
 
 
 @query("select event_id, row_number() over (partition by event_type order by ts, event_id) - 1 as ahead from events")
 def queue_place(spark, d):
-    return numbering.queue_place(table(spark, d, "events"), "event_type", ["ts", "event_id"]).select("event_id", F.col("ahead").cast("bigint").alias("ahead"))
+    return numbering.queue_place(table(spark, d, "events"), "event_type", F.expr(DAY), ["ts", "event_id"]).select("event_id", F.col("ahead").cast("bigint").alias("ahead"))
 
 
 @query("with d as (select distinct p_brand, p_retailprice from part), g as (select p_brand, lead(p_retailprice) over (partition by p_brand order by p_retailprice) - p_retailprice as gap from d) select p_brand, round(coalesce(median(gap), 0), 6) as spacing from g group by 1")
@@ -161,11 +165,11 @@ def printed_lengths(spark, d):
     return table(spark, d, "part").select("p_partkey", text.feet_inches(printed).alias("inches"))
 
 
-@query("select p_brand, concat('| size | name |\n| --- | --- |\n', string_agg(concat('| ', p_size, ' | ', p_name, ' |'), '\n' order by p_size, p_name, p_partkey)) as markdown from part group by 1")
+@query("select l_orderkey, concat('| line | part |\n| --- | --- |\n', string_agg(concat('| ', l_linenumber, ' | ', l_partkey, ' |'), '\n' order by l_linenumber, l_partkey)) as markdown from lineitem group by 1")
 def table_markdown(spark, d):
-    rows = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_size", "p_name", "p_partkey"))).alias("r"))
-    cells = F.concat(F.array(F.array(F.lit("size"), F.lit("name"))), F.transform("r", lambda x: F.array(x["p_size"].cast("string"), x["p_name"])))
-    return rows.select("p_brand", text.table_markdown(cells).alias("markdown"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))
+    cells = F.concat(F.array(F.array(F.lit("line"), F.lit("part"))), F.transform("r", lambda x: F.array(x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))))
+    return rows.select("l_orderkey", text.table_markdown(cells).alias("markdown"))
 
 
 # retrieval -----------------------------------------------------------------------------------------------------------
@@ -296,9 +300,9 @@ def sheet_referenced_by(spark, d):
     return portions.referenced_by(portions.sheet_map(_sheets(spark, d)))
 
 
-@query("with r as (select doc_id % 25 as portion, doc_id, substr(text, 1, 40) as overview from documents where n_chars > 40) select portion, substr(string_agg(overview, ' ' order by doc_id), 1, 1500) as overview, array_to_string(list_slice(list(cast(doc_id as varchar) order by doc_id), 1, 20), ',') as items from r group by 1")
+@query("with r as (select conv_id as portion, turn, substr(text, 1, 40) as overview from conversations) select portion, substr(string_agg(overview, ' ' order by turn), 1, 1500) as overview, array_to_string(list_slice(list(cast(turn as varchar) order by turn), 1, 20), ',') as items from r group by 1")
 def merged_summaries(spark, d):
-    lower = table(spark, d, "documents").filter("n_chars > 40").selectExpr("doc_id % 25 as portion", "doc_id as at", "substr(text, 1, 40) as overview", "array(cast(doc_id as string)) as items")
+    lower = table(spark, d, "conversations").selectExpr("conv_id as portion", "turn as at", "substr(text, 1, 40) as overview", "array(cast(turn as string)) as items")
     return portions.merged_summaries(lower, ["portion"]).withColumn("items", F.array_join("items", ","))
 
 
@@ -429,7 +433,7 @@ def finding_scores(spark, d):
 
 @query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, count(*) as n from events group by 1")
 def latency_percentiles(spark, d):
-    return evaluation.latency_percentiles(table(spark, d, "events"), "event_type", "value")
+    return numbering.percentiles(table(spark, d, "events"), "event_type", "value", F.floor("value"))
 
 
 # geometry ------------------------------------------------------------------------------------------------------------

@@ -33,13 +33,23 @@ def _limit(times: list[pd.Timestamp], started: float | None, count: int, seconds
 
 
 def limited_batch(hits: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:
-    """hits with allowed: a fixed window per key that starts at its first hit; a limit of 0 allows all."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time], kind="stable")
-        return pdf.assign(allowed=_limit(list(pdf[time]), None, 0, seconds, most)[0])
-
-    return hits.groupBy(key).applyInPandas(work, hits.withColumn("allowed", F.lit(True)).schema)
+    """hits with allowed: a fixed window per key that starts at its first hit; a limit of 0 allows all.
+
+    Runs along sorted partitions batch by batch and keeps one window's start and count.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, started, count = None, None, 0
+        for pdf in batches:
+            allowed: list[bool] = []
+            for name, rows in pdf.groupby(key, sort=False):
+                if name != current:
+                    current, started, count = name, None, 0
+                got, started, count = _limit(list(rows[time]), started, count, seconds, most)
+                allowed += got
+            yield pdf.assign(allowed=allowed)
+
+    return hits.repartition(key).sortWithinPartitions(key, time).mapInPandas(work, hits.withColumn("allowed", F.lit(True)).schema)
 
 
 def limited_stream(hits: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:

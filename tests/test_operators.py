@@ -15,13 +15,13 @@ from quillspark.streaming import jobs
 
 def test_superseded_documents_take_no_numbers(spark):
     docs = spark.createDataFrame([("p", "a", 1, 2, None), ("p", "b", 2, 3, "2024-01-01"), ("p", "c", 3, 1, None)], "project string, id string, created_at int, pages int, superseded_at string")
-    rows = numbering.manifest(docs, "project", "id", ["created_at", "id"]).orderBy("combined_page").collect()
+    rows = numbering.manifest(docs, "project", "id", F.col("created_at"), ["created_at", "id"]).orderBy("combined_page").collect()
     assert [(r["id"], r["page_number"], r["combined_page"]) for r in rows] == [("a", 1, 1), ("a", 2, 2), ("c", 1, 3)]
 
 
 def test_fill_goes_forward_then_back(spark):
     rows = spark.createDataFrame([("p", 1, None), ("p", 2, "S"), ("p", 3, None), ("q", 1, None)], "project string, page int, discipline string")
-    got = numbering.filled(rows, "project", ["page"], "discipline").orderBy("project", "page").collect()
+    got = numbering.filled(rows, "project", F.col("page"), ["page"], "discipline").orderBy("project", "page").collect()
     assert [r["filled"] for r in got] == ["S", "S", "S", "unclassified"]
 
 
