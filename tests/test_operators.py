@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
+from quillspark.functions import domain, text
 from quillspark.operators import chunking, geometry, merge, numbering, portions, retrieval
 from quillspark.sources import tables
 from quillspark.streaming import jobs
@@ -141,3 +141,27 @@ def test_streams(spark, tmp_path):
     assert run(jobs.once(stream, "job", "ts", "1 minute"), "once", "append").count() == 2
     assert run(jobs.per_window(stream, "ts", "1 minute", "0 seconds", "user"), "windows", "complete").first()["n"] == 3
     assert run(jobs.limited_stream(stream, "user", "ts", 60, 2), "limits", "append").filter("allowed").count() == 2
+
+
+@pytest.mark.parametrize(
+    ("body", "discipline"),
+    [("LICENSE NO. F-1105\nSEE A-101 HERE\n S-201 ", "structural"), ("JOB NO G-1000\ntype A-101 here", "architectural"), ("TYPE E2\nM1", "mechanical"), ("License F-1105", "fire_protection"), ("nothing", None), (None, None)],
+)
+def test_discipline_tiers(spark, body, discipline):
+    assert spark.createDataFrame([(body,)], "c string").select(domain.discipline_by_rules(F.col("c"))).first()[0] == discipline
+
+
+def test_levels(spark):
+    got = spark.createDataFrame([(["LEVEL 7-9", "LEVEL 8", "ROOF"],)], "c array<string>").select(domain.expanded_levels(F.col("c"))).first()[0]
+    assert got == ["LEVEL 7", "LEVEL 8", "LEVEL 9", "ROOF"]
+    names = ["ROOF", "LEVEL 10", "LEVEL 2", "GROUND", "LEVEL B1", "LEVEL B2", "ATTIC"]
+    rows = spark.createDataFrame([(n,) for n in names], "c string").orderBy(domain.level_rank(F.col("c"))).collect()
+    assert [r[0] for r in rows] == ["LEVEL B2", "LEVEL B1", "GROUND", "LEVEL 2", "LEVEL 10", "ROOF", "ATTIC"]
+    title = spark.createDataFrame([("Forming Plans -  level 7-13",), ("LEVEL 3",)], "c string").select(domain.plan_title(F.col("c")).alias("t")).collect()
+    assert tuple(title[0]["t"]) == ("FORMING PLAN", 7, 13) and title[1]["t"] is None
+
+
+def test_grounded_wording(spark):
+    rows = [("Beam B12 is 1,200 long", "b12: 1200 mm"), ("Beam B13", "b12"), ("3 beams", "two beams")]
+    got = spark.createDataFrame(rows, "w string, e string").select(domain.grounded(F.col("w"), F.col("e"))).collect()
+    assert [r[0] for r in got] == [True, False, False]

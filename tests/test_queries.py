@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from quillspark.plans import queries
+from quillspark.plans import domain_queries, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
