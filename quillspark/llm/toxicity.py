@@ -5,8 +5,9 @@ p = sigmoid(b + sum of the weights of its words' features); the document's is
 the noisy-or 1 - prod(1 - p). Weights are learned from document labels alone by
 gradient descent on the noisy-or likelihood, kept at 0 or above (no word makes
 a sentence harmless) with an L1 penalty, on a bounded sample of labelled
-rows (TRAIN_POSITIVE + TRAIN_NEGATIVE documents, chosen by a hash of doc_id;
-the classes are weighted back to their true shares). The sentence scores then
+rows (TRAIN_POSITIVE + TRAIN_NEGATIVE documents of at most TRAIN_DOC_CHARS
+characters, chosen by a hash of doc_id; the classes are weighted back to their
+true shares). The sentence scores then
 say where the offence stands.
 
 A word's features are the word and its first letters, so that unseen endings
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 2500
+#: Longer documents aren't trained on, so that the sample has a size bound; they are scored like all others.
+TRAIN_DOC_CHARS = 200_000
 THRESHOLD = 0.3
 PREFIXES = (3, 4, 5, 6)
 #: Words whose weight a worker remembers.
@@ -127,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSITIVE, ne
     if len(counts) < 2:
         return Model({}, -50.0)
     chosen = common.sample_below(labels.filter("toxic = 1"), "doc_id", positive, counts[True]).unionByName(common.sample_below(labels.filter("toxic <> 1"), "doc_id", negative, counts[False]))
-    rows = common.only(docs, "doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
+    texts = common.only(docs, "doc_id", "text").filter(F.length("text") <= TRAIN_DOC_CHARS)
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy(), counts[True] / (counts[True] + counts[False]))
 
 
