@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, decontamination, html_text, jaccard, language_id, licenses, packing, pii, quality, token_files, tokens, toxicity
+from .oracles import ORACLES  # noqa: F401  (for the entry points)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard.components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     found = decontamination.find(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op3_ngram_jaccard, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing)}
-ORACLES: dict[str, str] = {}
