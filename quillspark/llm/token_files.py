@@ -17,8 +17,9 @@ documents in ascending doc_id order and one binary payload:
 
 The width is the smallest that holds the PERCENTILE-th value of the block;
 larger values are exceptions, and their packed slot is 0. The columns shard,
-segment, first_doc, last_doc, n_ids and start index the segments; start needs
-the totals of earlier shards, one row each.
+segment, first_doc, last_doc, n_ids and in_shard (the ids before it in its
+shard) index the segments; a segment's start is that plus the totals of earlier
+shards, one row each.
 
 Cases: a null text is empty and has the end id alone. Rows with equal doc_id
 follow one another, ordered by their text's hash and text. An empty table gives
@@ -45,7 +46,9 @@ SEGMENT_IDS = 1 << 18
 #: Bytes of text that a shard aims at.
 SHARD_BYTES = 32 << 20
 END_ID = 1
-SEGMENTS = "shard int, segment int, first_doc bigint, last_doc bigint, n_docs int, n_ids bigint, payload binary"
+#: Shards whose totals may be broadcast (12 bytes each); beyond that they are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
+SEGMENTS = "shard int, segment int, first_doc bigint, last_doc bigint, n_docs int, n_ids bigint, in_shard bigint, payload binary"
 
 
 def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -137,13 +140,13 @@ class Segment:
 
 def _write_partition(path: str, keep_space: bool, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc = tokens.encoder(path, keep_space)
-    shard, segment, docs, arrays, size = TaskContext.get().partitionId(), 0, [], [], 0
+    shard, segment, docs, arrays, size, done = TaskContext.get().partitionId(), 0, [], [], 0, 0
 
     def close() -> pa.RecordBatch:
-        nonlocal segment, docs, arrays, size
+        nonlocal segment, docs, arrays, size, done
         payload = encode_segment(np.array(docs, np.int64), np.array([len(a) for a in arrays], np.uint32), np.concatenate(arrays))
-        out = pa.RecordBatch.from_pylist([{"shard": shard, "segment": segment, "first_doc": docs[0], "last_doc": docs[-1], "n_docs": len(docs), "n_ids": size, "payload": payload}], schema=_SEGMENT_ARROW)
-        segment, docs, arrays, size = segment + 1, [], [], 0
+        out = pa.RecordBatch.from_pylist([{"shard": shard, "segment": segment, "first_doc": docs[0], "last_doc": docs[-1], "n_docs": len(docs), "n_ids": size, "in_shard": done, "payload": payload}], schema=_SEGMENT_ARROW)
+        segment, docs, arrays, size, done = segment + 1, [], [], 0, done + size
         return out
 
     end = np.array([end_id], np.uint16)
@@ -160,7 +163,7 @@ def _write_partition(path: str, keep_space: bool, end_id: int, batches: Iterator
         yield close()
 
 
-_SEGMENT_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+_SEGMENT_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("in_shard", pa.int64()), ("payload", pa.binary())])
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, keep_space: bool = False, end_id: int = END_ID) -> None:
@@ -177,12 +180,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, keep_space: bool = False,
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The file's segments with start, the ids before each."""
     rows = spark.read.schema(SEGMENTS).parquet(path)
-    index = rows.select("shard", "segment", "n_ids")
-    totals = index.groupBy("shard").agg(F.sum("n_ids").alias("total"))
+    totals = rows.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("shard_start"))
-    within = index.select("shard", "segment", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_ids")).alias("segment_start"))
-    places = within.join(before, "shard").select("shard", "segment", (F.col("segment_start") + F.col("shard_start")).alias("start"))
-    return rows.join(places, ["shard", "segment"])
+    if totals.count() <= BROADCAST_SHARDS:
+        before = F.broadcast(before)
+    return rows.join(before, "shard").withColumn("start", F.col("in_shard") + F.col("shard_start"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
