@@ -47,6 +47,16 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its own columns of these names renamed, and what gives df's columns back in the end.
+
+    An operator that filters rows may then add columns of these names without touching the rows' own.
+    """
+    own = df.columns
+    taken = {c for c in own if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed({c: f"_own_{c}" for c in taken}), lambda out: out.select(*[F.col(f"_own_{c}").alias(c) if c in taken else F.col(c) for c in own])
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the decimal doc_id leaves this remainder."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

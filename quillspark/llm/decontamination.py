@@ -34,6 +34,8 @@ WINDOW = 10
 BLOCK_WORDS = 2_000_000
 #: Bytes of text in a shard.
 SHARD_CHARS = 4_000_000
+#: Columns that find() adds; columns of docs with these names are replaced.
+FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_ranges", "items", "longest_match")
 
 
 class TestSuffixes:
@@ -193,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_ranges [start, end, ...) in words, items, longest_match."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_ranges", "items", "longest_match")
+    docs = docs.drop(*FOUND)
     more = [("n_words", pa.int64()), ("hit_ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest_match", pa.int64())]
     out = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_ranges": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>"), "longest_match": F.lit(None).cast("bigint")})
     for block in _blocks(benchmark, window, block_words):
@@ -225,8 +227,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any window of the benchmark, with their own columns."""
-    names = docs.columns
-    return find(docs, benchmark, window).filter(~F.col("contaminated")).select(*names)
+    rows, back = common.set_aside(docs, *FOUND)
+    return back(find(rows, benchmark, window).filter(~F.col("contaminated")))
 
 
 def sha256_of(items: list[str]) -> str:

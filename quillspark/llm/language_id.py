@@ -149,6 +149,13 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     return docs.mapInArrow(common.per_batch(work), schema)
 
 
+def known(docs: DataFrame, fold: tuple[int, int] = (5, 0), least: float = 0.5) -> DataFrame:
+    """The documents whose language is known and at least so certain, with their own columns."""
+    langs, table = train(docs.filter(~common.held_out("doc_id", *fold)))
+    rows, back = common.set_aside(docs, "lang_pred", "score")
+    return back(predict(rows, langs, table).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
+
+
 def identify(docs: DataFrame, fold: tuple[int, int] = (5, 0), max_docs: int = TRAIN_DOCS) -> DataFrame:
     """Trains outside the held-out fold and predicts every row: docs, held_out, lang_pred, score."""
     out = common.held_out("doc_id", *fold)

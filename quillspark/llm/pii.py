@@ -196,14 +196,15 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced together, under the first one's kind. A null text stays null.
     """
-    names = docs.columns
     taken = accepted(candidates(docs))
+    counted = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    docs, back = common.set_aside(docs, "t", "cands", "spans")
     spans = F.expr("concat(" + ", ".join(map(_spans, KINDS)) + ")")
     found = with_spans(docs.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("cands", spans), taken)
     out = found.withColumn("text", F.expr(f"if(size(spans) = 0, text, {_REDACTED})"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    if counted is not None:
+        out = out.withColumn("n_chars", F.length("text").cast(counted))
+    return back(out)
 
 
 def digest(found: DataFrame) -> DataFrame:

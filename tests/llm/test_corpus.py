@@ -124,6 +124,16 @@ def test_redaction(odd):
     assert got[7]["text"] == "[EMAIL], [EMAIL][EMAIL] [IP].[IP] x [CARD] [PHONE]" and got[7]["n_chars"] == len(got[7]["text"])
 
 
+def test_filters_keep_clashing_columns(spark):
+    text = "the cat sat on the mat and ran to the house of the man " * 3
+    names = ("lang_pred", "score", "n_hit", "items", "t", "spans", "cands", "contaminated")
+    rows = [(i, f"{text} {i}", "en", *[f"{n}{i}" for n in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "never seen words here")], "item_id long, text string")
+    for out in (language_id.known(docs), decontamination.clean(docs, bench), pii.redact(docs)):
+        assert sorted(map(tuple, out.collect())) == rows
+
+
 def test_reliabilities_prefer_agreement():
     soft = pii.estimate([("secret", (0, 1, 1, 1), 50), ("secret", (0, 0, -1, 0), 50), ("email", (1, 1, 1, 1), 100)])
     assert soft["secret", (0, 1, 1, 1)] > 0.9 > 0.5 > soft["secret", (0, 0, -1, 0)]
