@@ -6,7 +6,6 @@ Each stage takes all that the one before it kept, written as Parquet and read ag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import common, decontamination, jaccard, language_id, packing, pii, tokens
 
@@ -16,10 +15,7 @@ LEAST_CERTAIN = 0.5
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on the labelled rows outside the held-out fold; drops texts of no or an uncertain language."""
-    names = docs.columns
-    langs, model = language_id.train(docs.filter(~common.held_out("doc_id", 5, 0)))
-    found = language_id.predict(docs, langs, model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*names)
+    return language_id.known(docs, least=LEAST_CERTAIN)
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
