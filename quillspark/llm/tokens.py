@@ -5,6 +5,7 @@ a single space between two characters that aren't white space: such a text's
 ids are the ids of its pieces in turn, each piece but the first with its space
 in front. A piece is encoded once per worker and remembered. A text where any
 other white space stands next to a space, or a space at an end, is encoded whole.
+Pieces are kept as UTF-8; for a vocabulary of lower case A-Z are lowered first.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ import struct
 
 import numpy as np
 
+from .common import ASCII_LOWER
+
 #: Pieces that a worker remembers at most, in two generations: the older one is dropped as the newer fills.
-MEMORY_PIECES = 800_000
-#: Longer pieces aren't remembered.
-MEMORY_PIECE_CHARS = 24
+MEMORY_PIECES = 600_000
+#: Pieces that the tokenizer gets at a time: its own results are far larger than their ids.
+PIECES_AT_ONCE = 10_000
+#: Bytes beyond which a piece isn't remembered.
+MEMORY_PIECE_BYTES = 28
 
-# Letters and then ASCII punctuation: both pre-tokenizers cut between the two.
-_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]+)")
+# Latin letters and then ASCII punctuation: both pre-tokenizers cut between the two.
+_WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def default_path(name: str) -> str:
@@ -30,8 +35,19 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _touches_space(piece: bytes) -> bool:
+    """Whether nothing is left without the leading space, or white space stands at an end."""
+    bare = piece[1:] if piece[:1] == b" " else piece
+    if not bare or bare[0] <= 32 or bare[-1] <= 32:
+        return True
+    if bare[0] < 128 and bare[-1] < 128:
+        return False
+    text = bare.decode()
+    return text[0].isspace() or text[-1].isspace()
+
+
 class Encoder:
-    """encode(texts) gives one uint16 array for each text."""
+    """encode(texts) gives one uint16 array for each text. keep_space: spaces are part of the vocabulary's tokens."""
 
     def __init__(self, path: str, keep_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,24 +56,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep_space = keep_space
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}H", *ids) for ids in (e.ids for e in found)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), PIECES_AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + PIECES_AT_ONCE], add_special_tokens=False):
+                ids = e.ids
+                out.append(struct.pack(f"<{len(ids)}H", *ids))
+        return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Brings these pieces into the younger memory."""
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Brings these pieces into the younger memory; letters and marks are looked up apart."""
         old, young = self.old, self.young
         young.update((x, old[x]) for x in pieces & old.keys())
-        new = [x for x in pieces if x not in young]
         cut, apart = {}, []
-        for x in new:
-            m = _WORD_AND_MARKS.fullmatch(x, 1 if x[:1] == " " else 0)
+        for x in pieces.difference(young):
+            m = _WORD_AND_MARKS.fullmatch(x, x[:1] == b" ")
             if m:
                 cut[x] = (x[: m.end(1)], m[2])
             else:
@@ -65,16 +82,17 @@ class Encoder:
         more = {y for xs in cut.values() for y in xs}.difference(young, apart)
         young.update((y, old[y]) for y in more & old.keys())
         apart += more.difference(young)
-        young.update(zip(apart, self._ids(apart), strict=True))
+        young.update(zip(apart, self._ids([x.decode() for x in apart]), strict=True))
         young.update((x, young[a] + young[b]) for x, (a, b) in cut.items())
-        self.long += [x for x in pieces | more if len(x) > MEMORY_PIECE_CHARS]
+        self.long += [x for x in pieces | more if len(x) > MEMORY_PIECE_BYTES]
 
-    def _split(self, text: str) -> list[str]:
+    def _split(self, text: str) -> list[bytes]:
+        data = text.encode()
         if not self.keep_space:
-            return text.split(" ")
-        if "\x1e" in text:
-            return [" " * (i > 0) + w for i, w in enumerate(text.split(" "))]
-        return text.replace(" ", "\x1e ").split("\x1e")
+            return data.translate(ASCII_LOWER).split(b" ")
+        if b"\x1e" in data:
+            return [b" " * (i > 0) + w for i, w in enumerate(data.split(b" "))]
+        return data.replace(b" ", b"\x1e ").split(b"\x1e")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > MEMORY_PIECES // 2:
@@ -82,7 +100,7 @@ class Encoder:
         young = self.young
         split = [self._split(text) for text in texts]
         new = set().union(*split).difference(young)
-        odd = {w for w in new if not (x := w[1:] if self.keep_space and w[:1] == " " else w) or x[0].isspace() or x[-1].isspace()}
+        odd = set(filter(_touches_space, new))
         apart = [not odd.isdisjoint(words) if odd else False for words in split]
         self._learn(new - odd)
         whole = iter(self._ids([t for t, x in zip(texts, apart, strict=True) if x]))
@@ -97,7 +115,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
-    """This worker's encoder for a vocabulary file. keep_space: spaces are part of its tokens."""
+    """This worker's encoder for a vocabulary file."""
     if (path, keep_space) not in _ENCODERS:
         _ENCODERS[path, keep_space] = Encoder(path, keep_space)
     return _ENCODERS[path, keep_space]
