@@ -5,6 +5,9 @@ a single space between two characters that aren't white space: such a text's
 ids are the ids of its pieces in turn, each piece but the first with its space
 in front. A piece is encoded once per worker and remembered. A text where any
 other white space stands next to a space, or a space at an end, is encoded whole.
+One or two line feeds are tokens of their own where text follows, so a text
+without longer runs of them, and with none next to a space, is cut there too.
+A vocabulary that drops white space is cut at all of its ASCII kind.
 Pieces are kept as UTF-8; for a vocabulary of lower case A-Z are lowered first.
 """
 
@@ -37,6 +40,8 @@ def default_path(name: str) -> str:
 
 def _touches_space(piece: bytes) -> bool:
     """Whether nothing is left without the leading space, or white space stands at an end."""
+    if piece in (b"", b"\n"):
+        return False
     bare = piece[1:] if piece[:1] == b" " else piece
     if not bare or bare[0] <= 32 or bare[-1] <= 32:
         return True
@@ -89,9 +94,11 @@ class Encoder:
     def _split(self, text: str) -> list[bytes]:
         data = text.encode()
         if not self.keep_space:
-            return data.translate(ASCII_LOWER).split(b" ")
+            return data.translate(ASCII_LOWER).split()
         if b"\x1e" in data:
             return [b" " * (i > 0) + w for i, w in enumerate(data.split(b" "))]
+        if b"\n" in data and not (b"\n\n\n" in data or b"\n " in data or b" \n" in data or data.endswith(b"\n\n")):
+            data = data.replace(b"\n", b"\x1e\n\x1e")
         return data.replace(b" ", b"\x1e ").split(b"\x1e")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -100,7 +107,7 @@ class Encoder:
         young = self.young
         split = [self._split(text) for text in texts]
         new = set().union(*split).difference(young)
-        odd = set(filter(_touches_space, new))
+        odd = set(filter(_touches_space, new)) if self.keep_space else set()
         apart = [not odd.isdisjoint(words) if odd else False for words in split]
         self._learn(new - odd)
         whole = iter(self._ids([t for t, x in zip(texts, apart, strict=True) if x]))
