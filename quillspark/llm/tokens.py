@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from itertools import pairwise
 
 import numpy as np
 
@@ -28,6 +29,9 @@ PIECES_AT_ONCE = 10_000
 #: Bytes beyond which a piece isn't remembered.
 MEMORY_PIECE_BYTES = 28
 
+#: The special token that both vocabularies have; texts that hold it go apart.
+END_MARK = "<|endoftext|>"
+
 # Latin letters and then ASCII punctuation: both pre-tokenizers cut between the two.
 _WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -60,17 +64,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.marking = Tokenizer.from_file(path)
+        self.end_mark = self.marking.token_to_id(END_MARK)
         self.keep_space = keep_space
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.long: list[bytes] = []
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids. Texts go joined by the end mark, which the library cuts at before all else."""
         out: list[bytes] = []
         for at in range(0, len(texts), PIECES_AT_ONCE):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + PIECES_AT_ONCE], add_special_tokens=False):
-                ids = e.ids
-                out.append(struct.pack(f"<{len(ids)}H", *ids))
+            part = texts[at : at + PIECES_AT_ONCE]
+            joined = END_MARK.join(part)
+            if joined.count("<|") == len(part) - 1:
+                ids = np.array(self.marking.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
+                edges = [-1, *np.flatnonzero(ids == self.end_mark).tolist(), len(ids)]
+                raw = ids.tobytes()
+                out += [raw[2 * a + 2 : 2 * b] for a, b in pairwise(edges)]
+            else:
+                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                out += [struct.pack(f"<{len(ids)}H", *ids) for ids in (e.ids for e in found)]
         return out
 
     def _learn(self, pieces: set[bytes]) -> None:
