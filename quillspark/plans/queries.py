@@ -306,6 +306,12 @@ def merged_summaries(spark, d):
     return portions.merged_summaries(lower, ["portion"]).withColumn("items", F.array_join("items", ","))
 
 
+@query("with r as (select conv_id as portion, turn, text as overview from conversations) select portion, substr(string_agg(overview, ' ' order by turn), 1, 1500) as overview, array_to_string(list_slice(list(cast(turn as varchar) order by turn), 1, 20), ',') as items from r group by 1")
+def merged_whole_summaries(spark, d):
+    lower = table(spark, d, "conversations").selectExpr("conv_id as portion", "turn as at", "text as overview", "array(cast(turn as string)) as items")
+    return portions.merged_summaries(lower, ["portion"]).withColumn("items", F.array_join("items", ","))
+
+
 # checks --------------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import domain, text
 from quillspark.operators import chunking, geometry, merge, numbering, portions, retrieval
+from quillspark.plans import domain_queries, queries  # noqa: F401  (domain_queries registers its queries)
 from quillspark.sources import tables
 from quillspark.streaming import jobs
 
@@ -165,3 +166,28 @@ def test_grounded_wording(spark):
     rows = [("Beam B12 is 1,200 long", "b12: 1200 mm"), ("Beam B13", "b12"), ("3 beams", "two beams")]
     got = spark.createDataFrame(rows, "w string, e string").select(domain.grounded(F.col("w"), F.col("e"))).collect()
     assert [r[0] for r in got] == [True, False, False]
+
+
+def test_merged_whole_summaries_keep_long_turns(spark, tmp_path):
+    turns = [(1, k, "u", f"{k}:" + "x" * 60) for k in range(5)] + [(2, 0, "u", "y" * 2000), (2, 1, "u", "z")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["portion"]: (r["overview"], r["items"]) for r in queries.QUERIES["merged_whole_summaries"](spark, str(tmp_path)).collect()}
+    assert got == {1: (" ".join(t for c, _, _, t in turns if c == 1), "0,1,2,3,4"), 2: ("y" * 1500, "0,1")}
+
+
+def test_merged_summaries_bound_a_large_portion(spark):
+    """Equal to joining everything; and few of a large portion's rows are collected."""
+    rows = [(7, k // 3, None if k % 11 == 0 else "ab" * (k % 4) + str(k), [] if k % 5 else [f"i{k}", "j"]) for k in range(4000)]
+    rows += [(8, None, "n", None), (8, 1, None, []), (None, 1, "k", ["a"]), (9, 1, None, None)]
+    lower = spark.createDataFrame(rows, "portion long, at long, overview string, items array<string>").repartition(5)
+    got = {r["portion"]: (r["overview"], r["items"]) for r in portions.merged_summaries(lower, ["portion"]).collect()}
+    mine = sorted((r for r in rows if r[0] == 7), key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3]))
+    whole = " ".join(r[2] for r in mine if r[2] is not None)[:1500], [x for r in mine for x in r[3]][:20]
+    assert got == {7: whole, 8: ("n", []), None: ("k", ["a"]), 9: ("", [])}
+    seen = []
+    collect = F.collect_list
+    try:
+        portions.F.collect_list = lambda c: (seen.append(1), F.slice(collect(c), 1, 1600))[1]
+        assert {r["portion"]: (r["overview"], r["items"]) for r in portions.merged_summaries(lower, ["portion"]).collect()} == got and seen
+    finally:
+        portions.F.collect_list = collect
