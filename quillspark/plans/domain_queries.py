@@ -71,8 +71,10 @@ def parsed_summaries(spark, d):
 @query("select doc_id, doc_id % 2 = 0 as by_name, doc_id % 3 = 0 as by_text from documents")
 def request_forms(spark, d):
     names = F.expr("if(doc_id % 2 = 0, concat('site_RFI-', doc_id, '.pdf'), concat('surfing ', doc_id, '.pdf'))")
-    body = F.expr("concat(if(doc_id % 3 = 0, 'REQUEST FOR  INFORMATION\\nQuestion: x\\nResponse: y\\n', 'QUESTION and question: send an RFI\\n'), regexp_replace(text, '[A-Za-z]', 'z'))")
-    return table(spark, d, "documents").select("doc_id", domain.is_request_name(names).alias("by_name"), domain.is_request_text(body).alias("by_text"))
+    planted = F.expr("if(doc_id % 3 = 0, 'REQUEST FOR  INFORMATION\\nQuestion: x\\nResponse: y\\n', 'QUESTION and question: send an RFI\\n')")
+    # a planted form or the document's own; apart, so that planted words are no field of the document's. The SQL knows the planted ones alone
+    by_text = domain.is_request_text(F.col("text")) | domain.is_request_text(planted)
+    return table(spark, d, "documents").select("doc_id", domain.is_request_name(names).alias("by_name"), by_text.alias("by_text"))
 
 
 @query("with p as (select l_suppkey as review, l_orderkey * 10 + l_linenumber as page_id, l_returnflag = 'R' and l_quantity > 45 as must, sum(l_extendedprice) as score from lineitem group by all), r as (select review, page_id, row_number() over (partition by review order by must desc, round(score, 2) desc, page_id, must) as place from p) select review, page_id, place, place <= 50 as kept from r")

@@ -191,3 +191,11 @@ def test_merged_summaries_bound_a_large_portion(spark):
         assert {r["portion"]: (r["overview"], r["items"]) for r in portions.merged_summaries(lower, ["portion"]).collect()} == got and seen
     finally:
         portions.F.collect_list = collect
+
+
+def test_request_forms_read_the_documents(spark, tmp_path):
+    """A form in a document's own text is found, wherever it stands; a planted one is found beside any text."""
+    rows = [(1, "memo\nRFI No. 12\nQuestion: a\nAnswer: b"), (2, "Request for\tinformation. " + "x " * 5000 + "Author: c\nSuggestion: d"), (3, "plain"), (4, "RFI: the response alone, response"), (5, "an answer, a reply"), (6, None), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["by_text"] for r in queries.QUERIES["request_forms"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False}
