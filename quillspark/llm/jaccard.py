@@ -27,7 +27,8 @@ fewer words than n is one n-gram, the whole sequence. Rows with equal doc_id
 count as documents of their own and both get a row. An empty table gives an
 empty result. Hashes are 64 bits wide (40 bits and the fragment's where classes
 are compared): two different n-grams of a pair coincide with a probability
-below 1e-8.
+below 1e-8. A null doc_id stays null; a component's id is its smallest doc_id that
+isn't null, and null if it has none.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ def _fragment_rows(bits: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iter
             sets = [gram_set(t, n) for t in texts[a:b]]
             sizes = np.array([len(s) for s in sets], np.int64)
             classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            docs = np.array([i if i is not None else -1 for i in ids[a:b]], np.int64)
+            docs = np.array([i if i is not None else 0 for i in ids[a:b]], np.int64)
+            unnamed = np.array([i is None for i in ids[a:b]], np.uint8)
             # copies in this batch: the first stands for its class
             first = np.sort(np.unique(classes, return_index=True)[1])
             first = first[sizes[first] > 0]
@@ -111,7 +113,7 @@ def _fragment_rows(bits: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iter
                 blobs.append(
                     b"".join(
                         x.tobytes()
-                        for x in (head, docs[here], classes[here], sizes[here].astype(np.uint32), classes[rows], sizes[rows].astype(np.uint32), count.astype(np.uint32), (mine >> np.uint64(8)).astype(np.uint32), mine.astype(np.uint8))
+                        for x in (head, docs[here], unnamed[here], classes[here], sizes[here].astype(np.uint32), classes[rows], sizes[rows].astype(np.uint32), count.astype(np.uint32), (mine >> np.uint64(8)).astype(np.uint32), mine.astype(np.uint8))
                     )
                 )
             yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array(blobs, pa.binary())], names=["fragment", "packed"])
@@ -120,7 +122,7 @@ def _fragment_rows(bits: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iter
 def _unpack(blob: bytes) -> list[np.ndarray]:
     n_docs, n_rows, n_grams = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
     at, out = 12, []
-    for kind, count in ((np.int64, n_docs), (np.uint64, n_docs), (np.uint32, n_docs), (np.uint64, n_rows), (np.uint32, n_rows), (np.uint32, n_rows), (np.uint32, n_grams), (np.uint8, n_grams)):
+    for kind, count in ((np.int64, n_docs), (np.uint8, n_docs), (np.uint64, n_docs), (np.uint32, n_docs), (np.uint64, n_rows), (np.uint32, n_rows), (np.uint32, n_rows), (np.uint32, n_grams), (np.uint8, n_grams)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
     return out
@@ -134,7 +136,7 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     """The documents at home in this fragment (grams null), and of each class the hashes that another class has too."""
     fragment = table.column("fragment")[0].as_py()
     parts = [_unpack(b) for b in table.column("packed").to_pylist()]
-    docs, doc_class, doc_n, classes, sizes, counts, high, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+    docs, unnamed, doc_class, doc_n, classes, sizes, counts, high, low = (np.concatenate(x) for x in zip(*parts, strict=True))
     grams = (high.astype(np.int64) << 8) | low
     names, number = np.unique(classes, return_inverse=True)
     # batches know nothing of each other's copies: of each class the first run counts
@@ -158,7 +160,7 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     size_of = np.zeros(len(names), np.int32)
     size_of[number] = sizes
     segments = pa.Table.from_arrays([pa.nulls(len(who), pa.int64()), pa.array(names[who].view(np.int64)), pa.array(size_of[who]), pa.ListArray.from_arrays(offsets, pa.array(grams)), pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))], schema=_FOUND_ARROW)
-    own = pa.Table.from_arrays([pa.array(docs), pa.array(doc_class.view(np.int64)), pa.array(doc_n.astype(np.int32)), pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int32()))], schema=_FOUND_ARROW)
+    own = pa.Table.from_arrays([pa.array(docs, mask=unnamed.astype(bool)), pa.array(doc_class.view(np.int64)), pa.array(doc_n.astype(np.int32)), pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int32()))], schema=_FOUND_ARROW)
     return pa.concat_tables([own, segments])
 
 
@@ -264,6 +266,15 @@ def components(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, n: int = N) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with their own columns."""
-    kept = components(docs, n).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, with its own columns: that with the smallest doc_id, nulls last.
+
+    Rows are told apart by a key of their own, not by doc_id, which may be null or repeated: of rows with equal doc_id
+    that are linked one stays, and each that is linked with nothing stays. Texts without n-grams all stay.
+    """
+    key = "_row_key"
+    own, restored = common.set_aside(docs, key)
+    rows = common.stored(own.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
+    groups = components(rows.select(F.col(key).alias("doc_id"), "text"), n).select(F.col("doc_id").alias(key), F.col("component_id").alias("_component"))
+    ids = rows.select(key, F.col("doc_id").alias("_id")).join(groups, key)
+    kept = ids.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col(key))).getField(key).alias(key)).select(key)
+    return restored(rows.join(kept, key, "left_semi"))

@@ -4,8 +4,9 @@ A file is a Parquet table of segments, so writing is atomic, survives lost
 executors and works on any store that Spark knows. A segment holds whole
 documents in ascending doc_id order and one binary payload:
 
-    magic "PFR1", uint32 documents, uint32 ids, uint32 blocks
-    int64[documents]     doc_id
+    magic "PFR2", uint32 documents, uint32 ids, uint32 blocks
+    int64[documents]     doc_id, 0 where it is null
+    uint8[(documents + 7) // 8]  a bit for each null doc_id, big-endian bits
     uint32[documents]    ids of each document, the end id included
     uint32[blocks]       block minimum
     uint8[blocks]        packed width in bits
@@ -23,7 +24,7 @@ shards, one row each.
 
 Cases: a null text is empty and has the end id alone. Rows with equal doc_id
 follow one another, ordered by their text's hash and text. An empty table gives
-an empty file. A text larger than a segment makes a larger segment.
+an empty file. Null doc_ids come first and stay null. A text larger than a segment makes a larger segment.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ BROADCAST_SHARDS = 1_000_000
 SEGMENTS = "shard int, segment int, first_doc bigint, last_doc bigint, n_docs int, n_ids bigint, in_shard bigint, payload binary"
 
 
-def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: np.ndarray | None = None) -> bytes:
+    """nulls: which doc_ids are null; none if left out."""
+    nulls = np.zeros(len(doc_ids), bool) if nulls is None else nulls
     n = len(ids)
     blocks = -(-n // BLOCK)
     padded = np.zeros(blocks * BLOCK, np.uint32)
@@ -80,7 +83,7 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) ->
     head = np.array([len(doc_ids), n, blocks], np.uint32)
     counts = np.bincount(rows, minlength=blocks).astype(np.uint16)
     return b"".join(
-        [b"PFR1", head.tobytes(), doc_ids.astype(np.int64).tobytes(), lengths.astype(np.uint32).tobytes(), low.tobytes(), width.tobytes(), counts.tobytes(), starts.tobytes(), body.tobytes(), places.astype(np.uint8).tobytes(), values.tobytes()]
+        [b"PFR2", head.tobytes(), doc_ids.astype(np.int64).tobytes(), np.packbits(nulls).tobytes(), lengths.astype(np.uint32).tobytes(), low.tobytes(), width.tobytes(), counts.tobytes(), starts.tobytes(), body.tobytes(), places.astype(np.uint8).tobytes(), values.tobytes()]
     )
 
 
@@ -88,7 +91,7 @@ class Segment:
     """Reads a payload: whole, or single blocks by way of the block starts."""
 
     def __init__(self, payload: bytes):
-        if payload[:4] != b"PFR1":
+        if payload[:4] != b"PFR2":
             raise ValueError("not a token segment")
         docs, self.n, blocks = (int(x) for x in np.frombuffer(payload, np.uint32, 3, 4))
         at = 16
@@ -99,7 +102,8 @@ class Segment:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.lengths = take(np.int64, docs), take(np.uint32, docs)
+        self.doc_ids, nulls, self.lengths = take(np.int64, docs), take(np.uint8, -(-docs // 8)), take(np.uint32, docs)
+        self.nulls = np.unpackbits(nulls, count=docs).astype(bool)
         self.low, self.width, self.counts = take(np.uint32, blocks), take(np.uint8, blocks), take(np.uint16, blocks)
         self.starts = take(np.uint64, blocks + 1)
         self.body = take(np.uint8, int(self.starts[-1]))
@@ -144,7 +148,7 @@ def _write_partition(path: str, keep_space: bool, end_id: int, batches: Iterator
 
     def close() -> pa.RecordBatch:
         nonlocal segment, docs, arrays, size, done
-        payload = encode_segment(np.array(docs, np.int64), np.array([len(a) for a in arrays], np.uint32), np.concatenate(arrays))
+        payload = encode_segment(np.array([d or 0 for d in docs], np.int64), np.array([len(a) for a in arrays], np.uint32), np.concatenate(arrays), np.array([d is None for d in docs]))
         out = pa.RecordBatch.from_pylist([{"shard": shard, "segment": segment, "first_doc": docs[0], "last_doc": docs[-1], "n_docs": len(docs), "n_ids": size, "in_shard": done, "payload": payload}], schema=_SEGMENT_ARROW)
         segment, docs, arrays, size, done = segment + 1, [], [], 0, done + size
         return out
@@ -197,7 +201,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids, ends = part.ids().astype("<u4"), np.cumsum(part.lengths, dtype=np.int64)
                 starts = ends - part.lengths
                 rows = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.doc_ids), pa.array(start + starts, pa.int64()), pa.array(part.lengths.astype(np.int64)), pa.array(rows, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.doc_ids, mask=part.nulls), pa.array(start + starts, pa.int64()), pa.array(part.lengths.astype(np.int64)), pa.array(rows, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return segments(spark, path).select("start", "payload").mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 

@@ -204,6 +204,24 @@ def test_first_of_each_keeps_columns(documents):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in components([(r["doc_id"], r["text"]) for r in documents.collect()])}
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Of each group one row stays, whatever its doc_id; ids that are null stay null."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(None, one), (4, one), (3, one + " end"), (4, two), (5, two), (5, two), (None, three), (None, three), (2, "alone here"), (2, "other text"), (None, ""), (-1, three + " end")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row_key int").repartition(3)
+    kept = jaccard.first_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None) == sorted([(3, one + " end"), (4, two), (2, "alone here"), (2, "other text"), (-1, three + " end")])
+    assert [r["text"] for r in kept.filter("doc_id is null").collect()] == [""]
+    assert jaccard.first_of_each(spark.createDataFrame([(None, one), (None, one), (None, two)], "doc_id long, text string")).count() == 2
+    found = Counter((r["doc_id"], r["component_id"]) for r in jaccard.components(frame).collect())
+    assert found == Counter([(None, 3), (4, 3), (3, 3), (4, 4), (5, 4), (5, 4), (None, -1), (None, -1), (-1, -1), (2, 2), (2, 2), (None, None)])
+    path = f"file://{tmp_path}/ids"
+    token_files.write(frame, path, tokens.default_path("word_bpe_49k.json"))
+    digests = sorted(token_files.digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in digests] == sorted((i for i, _ in rows), key=lambda i: -2 if i is None else i)
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
