@@ -9,6 +9,14 @@ it (boilerplate apart; a tag that they lack costs the least). Inside a marked ar
 the contiguous run of tokens with the largest sum; its blocks, less any
 boilerplate within, are the text.
 
+A form or an element with a boilerplate name may wrap the whole page ("content
+has-sidebar"). An article or main element in it that isn't boilerplate itself
+ends that mark, unless it is a teaser: fewer than a TEASER-th of the words of the
+page's longest text (its unwrapped article, or else its unwrapped words, or another
+wrapped article). Wrapped articles mark the page as unwrapped ones do, if there are
+none of these and less words without a wrapper. Other boilerplate (nav, aside,
+footer, hidden elements) stays so whatever is in it.
+
 Cases: null or empty html, and pages without words, give an empty text. Of runs
 with equal sums the first counts, and of these the longest. Rows that repeat
 are extracted each alone. Unclosed elements end with their parent; an unclosed
@@ -32,6 +40,8 @@ from . import common
 #: Pages that the weights are learned from at most (chosen by a hash of page_id).
 TRAIN_PAGES = 5_000
 LEAST, MOST, INSIDE = 0.05, 8.0, 0.01
+#: An article in a wrapper with fewer words than the page's longest text divided by this is a teaser.
+TEASER = 4
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -80,21 +90,22 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop
 
 
-def _dropped(name: str, raw: str, in_main: bool) -> bool:
-    """Whether an element holds boilerplate."""
-    if name in DROPPED or name == "header" and not in_main:
-        return True
+def _dropped(name: str, raw: str, in_main: bool) -> str:
+    """Whether an element holds boilerplate: "hard" for good, "soft" if it may be a wrapper of an article, "" if not."""
+    if name in DROPPED and name != "form" or name == "header" and not in_main:
+        return "hard"
+    kind = "soft" if name == "form" else ""
     if not raw or name in MAIN and "comment" not in raw.lower() or name in ("html", "body"):
-        return False
+        return kind
     for m in _ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and not DROPPED_NAMES.isdisjoint(_LETTERS.findall(value)):
-            return True
+            kind = "soft"
         if key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return "hard"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "hard"
+    return kind
 
 
 class Walk:
@@ -103,30 +114,54 @@ class Walk:
     def __init__(self, page: str):
         self.items: list[tuple[str, str, bool, bool, int]] = []
         self.marked = False
-        stack: list[tuple[str, bool, bool]] = []
+        wrapped: list[int] = []  # per item the number of the article that ends a wrapper's mark, or 0
+        words, plain, clean, articles = Counter(), 0, 0, 0
+        stack: list[tuple[str, str, bool, int]] = []
         block = 0
+
+        def add(kind: str, value: str, dropped: str, in_main: bool, article: int) -> None:
+            nonlocal plain, clean
+            self.items.append((kind, value, bool(dropped), in_main, block))
+            wrapped.append(article)
+            if kind == "text" and not dropped:
+                n = len(value.split())
+                words[article] += n if article else 0
+                plain += 0 if article or in_main else n
+                clean += n if in_main and not article else 0
+
         for kind, value, raw in tokens(page):
-            dropped, in_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            dropped, in_main, article = stack[-1][1:] if stack else ("", False, 0)
             if kind == "text":
-                self.items.append(("text", value, dropped, in_main, block))
+                add("text", value, dropped, in_main, article)
                 continue
             if value in BLOCK:
                 block += 1
             if kind == "open":
-                inner = dropped or _dropped(value, raw, in_main)
-                main = in_main or value in MAIN and not inner
-                self.marked |= main
-                self.items.append(("tag", value, inner, main, block))
+                own = _dropped(value, raw, in_main)
+                inner, main, within = "hard" if "hard" in (dropped, own) else dropped or own, in_main, article
+                if value in MAIN and not own and dropped == "soft":
+                    articles += 1
+                    inner, main, within = "", True, articles
+                elif value in MAIN and not inner:
+                    main = True
+                self.marked |= main and not within
+                add("tag", value, inner, main, within)
                 if value not in VOID and not raw.rstrip().endswith("/"):
-                    stack.append((value, inner, main))
+                    stack.append((value, inner, main, within))
             else:
-                self.items.append(("tag", value, dropped, in_main, block))
+                add("tag", value, dropped, in_main, article)
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == value:
                         del stack[k:]
                         break
             if value == "br":
-                self.items.append(("text", " ", dropped, in_main, block))
+                add("text", " ", dropped, in_main, article)
+        if articles:
+            longest = max(clean if self.marked else plain, *words.values(), 0)
+            kept = {a for a, n in words.items() if a and n and TEASER * n >= longest}
+            main = self.marked or sum(words[a] for a in kept) > plain
+            self.items = [(k, v, d or a > 0 and a not in kept, m and (not a or main and a in kept), b) for (k, v, d, m, b), a in zip(self.items, wrapped, strict=True)]
+            self.marked |= main and bool(kept)
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:

@@ -243,6 +243,24 @@ def test_html_cases(page, text):
     assert html_text.extract(page, html_text.weigh({"p": (9, 1), "div": (1, 9), "li": (1, 1)})) == text
 
 
+BODY = "<article><h1>Title</h1><p>One two three four five six seven eight</p></article>"
+
+
+@pytest.mark.parametrize("wrapper", ["<form action=x>", "<div class='content has-sidebar'>", "<div class='post comments-open'>", "<div class='layout no-banner'>", "<form><div id=page class='no-banner'>"])
+def test_html_article_in_a_wrapper(wrapper):
+    weights, text = html_text.weigh({"p": (9, 1), "div": (1, 9)}), "Title\n\nOne two three four five six seven eight"
+    assert html_text.extract(f"<body><nav>Home</nav>{wrapper}<label>Search</label>{BODY}<p>away</p>", weights) == text
+    assert html_text.extract(f"<body>{wrapper}<main>{BODY}<div class=related><article>More</article></div></main>", weights) == text
+    assert html_text.extract(f"<body><article>Teaser</article>{wrapper}{BODY}", weights).endswith(text)
+
+
+def test_html_boilerplate_in_articles_stays():
+    weights, text = html_text.weigh({"p": (9, 1), "div": (1, 9)}), "Title\n\nOne two three four five six seven eight"
+    for after in ("<div class=related><article>More</article></div>", f"<aside>{BODY}</aside>", f"<div hidden>{BODY}</div>", "<div class=comments><article class=comment>Nice post of one two three four</article></div>"):
+        assert html_text.extract(f"<body>{BODY}{after}", weights) == text
+    assert html_text.extract("<p>plain words of a page without marks</p><div class=related><article>More</article></div>", weights) == "plain words of a page without marks"
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
