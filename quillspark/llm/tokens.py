@@ -9,6 +9,12 @@ One or two line feeds are tokens of their own where text follows, so a text
 without longer runs of them, and with none next to a space, is cut there too.
 A vocabulary that drops white space is cut at all of its ASCII kind.
 Pieces are kept as UTF-8; for a vocabulary of lower case A-Z are lowered first.
+
+Ids are those of `Tokenizer.from_file(path).encode(text, add_special_tokens=False)`
+with nothing else set: the library makes a special token's string in a text
+(`<|endoftext|>`) its one special id. A text with `<|` is therefore encoded whole.
+Pieces of Latin letters alone are one pre-token: they go to the library's model
+directly, in the byte alphabet of its pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -29,11 +35,25 @@ PIECES_AT_ONCE = 10_000
 #: Bytes beyond which a piece isn't remembered.
 MEMORY_PIECE_BYTES = 28
 
-#: The special token that both vocabularies have; texts that hold it go apart.
+#: The special token that both vocabularies have; the library cuts at it before all else.
 END_MARK = "<|endoftext|>"
+#: What every special token starts with.
+MARK_START = b"<|"
 
 # Latin letters and then ASCII punctuation: both pre-tokenizers cut between the two.
-_WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+"
+_WORD_AND_MARKS = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]+)")
+_WORD = re.compile(_LETTERS)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, else one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def default_path(name: str) -> str:
@@ -63,30 +83,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.marking = Tokenizer.from_file(path)
-        self.end_mark = self.marking.token_to_id(END_MARK)
+        self.model = self.tokenizer.model
+        self.end_mark = self.tokenizer.token_to_id(END_MARK)
         self.keep_space = keep_space
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.long: list[bytes] = []
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids. Texts go joined by the end mark, which the library cuts at before all else."""
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids by the library as it is."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}H", *ids) for ids in (e.ids for e in found)]
+
+    def _joined(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces without special marks, joined by the end mark, which the library cuts at."""
         out: list[bytes] = []
-        for at in range(0, len(texts), PIECES_AT_ONCE):
-            part = texts[at : at + PIECES_AT_ONCE]
-            joined = END_MARK.join(part)
-            if joined.count("<|") == len(part) - 1:
-                ids = np.array(self.marking.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
-                edges = [-1, *np.flatnonzero(ids == self.end_mark).tolist(), len(ids)]
-                raw = ids.tobytes()
-                out += [raw[2 * a + 2 : 2 * b] for a, b in pairwise(edges)]
-            else:
-                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                out += [struct.pack(f"<{len(ids)}H", *ids) for ids in (e.ids for e in found)]
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            part = [x.decode() for x in pieces[at : at + PIECES_AT_ONCE]]
+            ids = np.array(self.tokenizer.encode_batch_fast([END_MARK.join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            edges = [-1, *np.flatnonzero(ids == self.end_mark).tolist(), len(ids)]
+            raw = ids.tobytes()
+            out += [raw[2 * a + 2 : 2 * b] for a, b in pairwise(edges)]
         return out
 
+    def _word(self, piece: bytes) -> bytes:
+        """The ids of Latin letters, with the space before them, if any."""
+        if piece.isascii():
+            letters = piece.decode().replace(" ", _BYTE_LETTERS[0x20])
+        else:
+            whole = piece if self.keep_space else piece.decode().lower().encode()
+            letters = whole.decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def _learn(self, pieces: set[bytes]) -> None:
         """Brings these pieces into the younger memory; letters and marks are looked up apart."""
         old, young = self.old, self.young
@@ -101,12 +130,17 @@ class Encoder:
         more = {y for xs in cut.values() for y in xs}.difference(young, apart)
         young.update((y, old[y]) for y in more & old.keys())
         apart += more.difference(young)
-        young.update(zip(apart, self._ids([x.decode() for x in apart]), strict=True))
+        others = []
+        for x in apart:
+            if _WORD.fullmatch(x, x[:1] == b" "):
+                young[x] = self._word(x)
+            else:
+                others.append(x)
+        young.update(zip(others, self._joined(others), strict=True))
         young.update((x, young[a] + young[b]) for x, (a, b) in cut.items())
         self.long += [x for x in pieces | more if len(x) > MEMORY_PIECE_BYTES]
 
-    def _split(self, text: str) -> list[bytes]:
-        data = text.encode()
+    def _split(self, data: bytes) -> list[bytes]:
         if not self.keep_space:
             return data.translate(ASCII_LOWER).split()
         if b"\x1e" in data:
@@ -119,12 +153,14 @@ class Encoder:
         if len(self.young) > MEMORY_PIECES // 2:
             self.old, self.young = self.young, {}
         young = self.young
-        split = [self._split(text) for text in texts]
+        raw = [text.encode() for text in texts]
+        marked = [MARK_START in data for data in raw]
+        split = [[] if m else self._split(data) for data, m in zip(raw, marked, strict=True)]
         new = set().union(*split).difference(young)
         odd = set(filter(_touches_space, new)) if self.keep_space else set()
-        apart = [not odd.isdisjoint(words) if odd else False for words in split]
+        apart = [m or not odd.isdisjoint(words) for m, words in zip(marked, split, strict=True)] if odd else marked
         self._learn(new - odd)
-        whole = iter(self._ids([t for t, x in zip(texts, apart, strict=True) if x]))
+        whole = iter(self._whole([t for t, x in zip(texts, apart, strict=True) if x]))
         out = [np.frombuffer(next(whole) if x else b"".join(map(young.__getitem__, words)), np.uint16) for words, x in zip(split, apart, strict=True)]
         for w in self.long:
             young.pop(w, None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as html_lib
 import re
@@ -307,14 +308,35 @@ def test_toxicity_learns_and_locates(spark, odd):
 # 7 and 10 ------------------------------------------------------------------------------------------------------------
 
 
-def plain_ids(name, text, end):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_path(name))
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(tokens.default_path(name))
+
+
+def plain_ids(name, text, end):
+    t = library(name)
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+MARKS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "a", "É", "ß", "ÿx", "×", "e\u0301", "'s", "don't", "12", "½", "漢", "🙂", ".", ",", "_", "ªº", "İ", "ſ", "\x1e", "Word", "naïve", "WORD!"]
+_ENCODERS = {name: (tokens.Encoder(tokens.default_path(name), keep), keep) for name, keep in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True))}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(MARKS) | st.characters(codec="utf-8"), max_size=14).map("".join), min_size=1, max_size=6), st.sampled_from(sorted(_ENCODERS)))
+def test_ids_are_the_librarys(texts, name):
+    for text, ids in zip(texts, _ENCODERS[name][0].encode(texts), strict=True):
+        assert [*ids.tolist(), 0] == plain_ids(name, text, 0).tolist()
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>b c<|endoftext|> d", "hello <|endoftext|> world", "<|startoftext|> x", "x <|endoftext"])
+def test_special_marks_are_one_id_as_in_the_library(text):
+    for name, (enc, _) in _ENCODERS.items():
+        assert [*enc.encode([text, "plain " + text])[0].tolist(), 0] == plain_ids(name, text, 0).tolist()
+
+
 def test_token_files(spark, odd, tmp_path):
     path = f"file://{tmp_path}/ids"
     token_files.write(odd, path, tokens.default_path("word_bpe_49k.json"))
