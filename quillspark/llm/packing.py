@@ -6,8 +6,8 @@ sequences already, and a rest. The rests' lengths give a histogram over
 1..window. Strategies are all combinations of one to three lengths that fill
 the window: the repeat counts x >= 0 that minimise |A x - histogram|^2 weighted
 by length are found by multiplicative updates (A and the histogram aren't
-negative, so x stays so and the error never grows), rounded down and applied as
-far as the pieces last. What is left is packed greedily: pieces in falling
+negative, so x stays so and the error never grows), rounded to the nearest, and
+applied, largest count first, as far as the pieces last. What is left is packed greedily: pieces in falling
 length fill a window, and the piece that crosses its end is cut there. The last
 sequence of a block is cut into powers of two, which need no padding.
 
@@ -15,7 +15,11 @@ Blocks need nothing of each other: no shuffle, no state that grows with the
 corpus, and a lost task repeats its own blocks alone.
 
 Cases: a null or empty text is its end id alone. Rows that repeat are packed
-each on its own. An empty table gives no pieces.
+each on its own, in the order in which they are read; a null doc_id stays null.
+A text longer than a block makes a larger block of its own. Of strategies with
+equal counts the one listed first (fewer pieces) goes first, of pieces of equal
+length the document read first. Columns besides doc_id and text aren't read. An
+empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -65,14 +69,11 @@ def solve(plans: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndar
 def apply_counts(plans: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """Rounded strategies with their repeats, never more than the histogram holds."""
     left, out = histogram.copy(), []
-    # rounding down loses many small counts: the order by count lets the largest have the pieces first,
-    # and one more repeat is tried for each, as long as there are pieces
-    for k in np.argsort(-x, kind="stable"):
-        if x[k] < 0.05:
-            break
+    counts = np.rint(x).astype(np.int64)
+    for k in np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]:
         lengths = plans[k][plans[k] > 0]
         kinds, each = np.unique(lengths, return_counts=True)
-        n = int(min(np.ceil(x[k]), (left[kinds] // each).min()))
+        n = int(min(counts[k], (left[kinds] // each).min()))
         if n > 0:
             left[kinds] -= each * n
             out.append((lengths, n))

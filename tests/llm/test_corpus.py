@@ -402,6 +402,42 @@ def test_every_token_is_packed_once(sizes):
     assert all(n <= 256 and (n == 256 or n & (n - 1) == 0) for n in used.values())
 
 
+def test_counts_are_rounded_to_the_nearest():
+    plans = packing.strategies(8, step=1)
+    row = {tuple(p): k for k, p in enumerate(plans.tolist())}
+    x = np.zeros(len(plans))
+    x[row[5, 3, 0]], x[row[4, 4, 0]], x[row[6, 2, 0]] = 2.6, 1.4, 0.4
+    histogram = np.array([0, 0, 9, 9, 9, 9, 9, 0, 0])
+    assert [(lengths.tolist(), n) for lengths, n in packing.apply_counts(plans, x, histogram)] == [([5, 3], 3), ([4, 4], 1)]
+    assert [n for _, n in packing.apply_counts(plans, x, np.minimum(histogram, 2))] == [2, 1]
+
+
+def test_strategies_fit_and_pack_most_rests():
+    """The counts come near the histogram, never beyond what pieces there are, and fewer documents are cut than by the greedy part alone."""
+    rng = np.random.default_rng(3)
+    sizes = np.maximum(1, rng.lognormal(6.5, 1.2, 3000).astype(np.int64))
+    plans, window = packing.strategies(packing.WINDOW), packing.WINDOW
+    rest = sizes % window
+    histogram = np.bincount(rest[rest > 0], minlength=window + 1)
+    x = packing.solve(plans, histogram)
+    weight = np.arange(window + 1) / window
+
+    def error(counts):
+        return float((weight * (np.bincount(plans.ravel(), weights=np.repeat(counts, 3), minlength=window + 1) - histogram) ** 2)[1:].sum())
+
+    assert (x >= 0).all() and error(x) < 0.5 * error(np.zeros(len(plans)))
+    for k in rng.integers(0, len(plans), 50):  # no single count can be moved for the better by much
+        for by in (0.5, -0.5):
+            moved = x.copy()
+            moved[k] = max(0.0, moved[k] + by)
+            assert error(moved) > error(x) - 0.1
+    used = sum(n * window for _, n in packing.apply_counts(plans, x, histogram))
+    assert used >= 0.5 * (histogram * np.arange(window + 1)).sum()
+    pieces = len(packing.pack_lengths(sizes, window, plans)[0])
+    greedy = len(packing.pack_lengths(sizes, window, plans[:1])[0])
+    assert pieces < greedy
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
