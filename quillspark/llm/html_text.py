@@ -1,26 +1,35 @@
 """Main text of web pages as a maximum-scoring subsequence of their tokens.
 
-A page is a sequence of words and tags. A word scores 1, or -1 where an element
-around it holds boilerplate (navigation, adverts, notices, forms, comments) or
-where the page has an article or main element and the word stands outside. A
-tag costs its weight: labelled pages, those of a bounded sample that mark their
-article, tell how much more often each tag stands outside the article than in
-it (boilerplate apart; a tag that they lack costs the least). Inside a marked article a tag costs next to nothing. One linear scan finds
-the contiguous run of tokens with the largest sum; its blocks, less any
-boilerplate within, are the text.
-
-A form or an element with a boilerplate name may wrap the whole page ("content
-has-sidebar"). An article or main element in it that isn't boilerplate itself
-ends that mark, unless it is a teaser: fewer than a TEASER-th of the words of the
-page's longest text (its unwrapped article, or else its unwrapped words, or another
-wrapped article). Wrapped articles mark the page as unwrapped ones do, if there are
-none of these and less words without a wrapper. Other boilerplate (nav, aside,
-footer, hidden elements) stays so whatever is in it.
+A page is a sequence of words and tags. A word scores 1, a tag costs its weight:
+labelled pages, those of a bounded sample that mark their article, tell how much
+more often each tag stands outside the article than in it (a tag that they lack
+costs the least). Tokens of boilerplate elements (navigation, adverts, notices,
+forms, comments) score 0 and are left out, so that none in the middle of a text
+cuts it in two. One linear scan finds the contiguous run of tokens with the
+largest sum; its blocks, less any boilerplate within, are the text.
+
+Where a page marks its text with article or main elements, each stretch of them
+is scanned alone and all the runs count. There the weights are scaled so that
+the tags of a stretch cost less than one word together: a mark says more than
+any tag, and no words in it are lost.
+
+A form or an element with a boilerplate name may wrap the whole page. An article
+or main element in it that isn't boilerplate itself ends that mark, unless it is
+a teaser: fewer than a TEASER-th of the words of the page's longest text (its
+unwrapped article, or else its unwrapped words, or another wrapped article).
+Wrapped articles mark the page as unwrapped ones do, if there are none of these
+and less words without a wrapper. Other boilerplate (nav, aside, footer, hidden
+elements) stays so whatever is in it. A class or id is a boilerplate name if one
+of its words is, and all others only say what or where it is ("site-footer",
+"ad-slot-2", but not "has-sidebar" or "search-results").
 
 Cases: null or empty html, and pages without words, give an empty text. Of runs
 with equal sums the first counts, and of these the longest. Rows that repeat
-are extracted each alone. Unclosed elements end with their parent; an unclosed
-comment, script, style or tag ends with the page.
+are extracted each alone. Unclosed elements end with their parent, a closing tag
+without its opening one ends nothing; an unclosed comment, script, style or tag
+ends with the page. Very long pages take time and memory in proportion to their
+length, however deep. Columns text and n_chars of the pages are replaced, further
+ones stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +49,7 @@ from . import common
 
 #: Pages that the weights are learned from at most (chosen by a hash of page_id).
 TRAIN_PAGES = 5_000
-LEAST, MOST, INSIDE = 0.05, 8.0, 0.01
+LEAST, MOST = 0.05, 8.0
 #: An article in a wrapper with fewer words than the page's longest text divided by this is a teaser.
 TEASER = 4
 
@@ -56,12 +66,16 @@ DROPPED = frozenset(
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words that only say what or where an element with a boilerplate name is.
+PLACE_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons card center col column container content desktop field first fixed floating form global group header holder icon icons inline inner item items js label last left link links list lists main message mobile module next outer page pane panel post posts prev previous primary right row secondary section side site slot small sticky strip tab text title top trail unit ui view wrap wrapper zone".split()
+)
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_LETTERS = re.compile(r"[a-z]+")
+_NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -90,6 +104,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop
 
 
+def _is_boilerplate_name(name: str) -> bool:
+    """Whether one class or id names boilerplate."""
+    if name.lower() in DROPPED_NAMES:
+        return True
+    words = [w.lower() for w in _NAME_WORD.findall(name) if len(w) > 1]
+    return not DROPPED_NAMES.isdisjoint(words) and all(w in DROPPED_NAMES or w in PLACE_NAMES for w in words)
+
+
 def _dropped(name: str, raw: str, in_main: bool) -> str:
     """Whether an element holds boilerplate: "hard" for good, "soft" if it may be a wrapper of an article, "" if not."""
     if name in DROPPED and name != "form" or name == "header" and not in_main:
@@ -98,9 +120,11 @@ def _dropped(name: str, raw: str, in_main: bool) -> str:
     if not raw or name in MAIN and "comment" not in raw.lower() or name in ("html", "body"):
         return kind
     for m in _ATTRIBUTE.finditer(raw):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not DROPPED_NAMES.isdisjoint(_LETTERS.findall(value)):
-            kind = "soft"
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id"):
+            kind = "soft" if any(map(_is_boilerplate_name, value.split())) else kind
+            continue
+        value = value.lower()
         if key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return "hard"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -117,6 +141,7 @@ class Walk:
         wrapped: list[int] = []  # per item the number of the article that ends a wrapper's mark, or 0
         words, plain, clean, articles = Counter(), 0, 0, 0
         stack: list[tuple[str, str, bool, int]] = []
+        open_ = Counter()  # of each tag in the stack
         block = 0
 
         def add(kind: str, value: str, dropped: str, in_main: bool, article: int) -> None:
@@ -148,11 +173,13 @@ class Walk:
                 add("tag", value, inner, main, within)
                 if value not in VOID and not raw.rstrip().endswith("/"):
                     stack.append((value, inner, main, within))
+                    open_[value] += 1
             else:
                 add("tag", value, dropped, in_main, article)
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == value:
-                        del stack[k:]
+                while open_[value]:
+                    closed = stack.pop()[0]
+                    open_[closed] -= 1
+                    if closed == value:
                         break
             if value == "br":
                 add("text", " ", dropped, in_main, article)
@@ -170,25 +197,39 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return {tag: min(MOST, max(LEAST, 1 + math.log((c[1] + 1) / outside) - math.log((c[0] + 1) / inside))) for tag, c in counts.items()}
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    if not page:
-        return ""
-    walk = Walk(page)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous range with the largest positive sum: the first of equal ones, as long as it can be."""
     best = low = total = 0.0
     best_range, start = (0, 0), 0
-    for i, (kind, value, dropped, in_main, _) in enumerate(walk.items):
-        away = dropped or walk.marked and not in_main
-        if kind == "text":
-            total += len(value.split()) * (-1 if away else 1)
-        else:
-            total -= INSIDE if walk.marked and in_main and not dropped else weights.get(value, LEAST)
+    for i, score in enumerate(scores):
+        total += score
         if total < low:
             low, start = total, i + 1
         if total - low > best or total - low == best and best_range[0] == start and best > 0:
             best, best_range = total - low, (start, i + 1)
+    return best_range
+
+
+def _scores(items: list[tuple[str, str, bool, bool, int]], weights: dict[str, float], scale: float) -> list[float]:
+    return [0.0 if dropped else float(len(value.split())) if kind == "text" else -scale * weights.get(value, LEAST) for kind, value, dropped, _, _ in items]
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    if not page:
+        return ""
+    walk = Walk(page)
+    chosen: list[tuple[str, str, bool, bool, int]] = []
+    if walk.marked:
+        for main, stretch in groupby(walk.items, key=lambda item: item[3]):
+            if main:
+                items = list(stretch)
+                cost = sum(weights.get(value, LEAST) for kind, value, dropped, _, _ in items if kind == "tag" and not dropped)
+                chosen += items[slice(*best_run(_scores(items, weights, 1 / (1 + cost))))]
+    else:
+        chosen = walk.items[slice(*best_run(_scores(walk.items, weights, 1.0)))]
     blocks: dict[int, list[str]] = {}
-    for kind, value, dropped, in_main, block in walk.items[slice(*best_range)]:
-        if kind == "text" and not dropped and (in_main or not walk.marked):
+    for kind, value, dropped, _, block in chosen:
+        if kind == "text" and not dropped:
             blocks.setdefault(block, []).append(value)
     texts = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)

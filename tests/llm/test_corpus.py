@@ -6,6 +6,7 @@ import functools
 import hashlib
 import html as html_lib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -262,6 +263,54 @@ def test_html_boilerplate_in_articles_stays():
     assert html_text.extract("<p>plain words of a page without marks</p><div class=related><article>More</article></div>", weights) == "plain words of a page without marks"
 
 
+def words(n, start=0):
+    return " ".join(f"w{k}" for k in range(start, start + n))
+
+
+def test_html_loses_nothing_of_an_article():
+    weights = html_text.weigh({"p": (9, 1), "div": (1, 9), "li": (1, 50), "a": (1, 90)})
+    parts = [words(20), words(30, 200)]
+    for between in (f"<aside>{words(100, 500)}</aside>", f"<div class='ad-slot-2'>{words(100, 500)}</div>", f"<form>{words(9, 500)}</form>", f"<nav>{'<a>x</a>' * 60}</nav>"):
+        assert html_text.extract(f"<article><h1>Title</h1><p>{parts[0]}</p>{between}<p>{parts[1]}</p></article>", weights) == "\n\n".join(["Title", *parts])
+        assert html_text.extract(f"<div><p>{parts[0]}</p>{between}<p>{parts[1]}</p></div>", html_text.weigh({"p": (9, 1)})) == "\n\n".join(parts)
+    assert html_text.extract(f"<article><p>{parts[0]}</article><p>{words(60, 500)}</p><article><p>{parts[1]}</article>", weights) == "\n\n".join(parts)
+    links = "".join(f"<li><a>l{k}</a></li>" for k in range(50))
+    assert html_text.extract(f"<article><h1>Title</h1><ul>{links}</ul><p>end</p></article>", weights) == "\n\n".join(["Title", *(f"l{k}" for k in range(50)), "end"])
+
+
+@pytest.mark.parametrize(("name", "dropped"), [("share-buttons-explained", False), ("search-results", False), ("has-sidebar", False), ("comments-open", False), ("adverse", False), ("share-buttons", True), ("site-footer", True), ("ad-slot-2", True), ("sideBar", True), ("adContainer", True), ("x comments", True), ("cookie_notice", True)])
+def test_html_names_count_whole(name, dropped):
+    text = html_text.extract(f"<article><p>before</p><section class='{name}'>inside</section><p>after</p></article>", {})
+    assert text == ("before\n\nafter" if dropped else "before\n\ninside\n\nafter")
+
+
+def test_html_weights_decide_without_marks():
+    """Without an article, what stands between costly tags is left out; a page's own words aren't."""
+    weights = html_text.weigh({"p": (90, 1), "li": (1, 60), "a": (1, 90)})
+    page = f"<ul>{'<li><a>x</a></li>' * 10}</ul><p>{words(40)}</p><p>{words(30, 100)}</p><ul>{'<li><a>y</a></li>' * 10}</ul>"
+    assert html_text.extract(page, weights) == f"{words(40)}\n\n{words(30, 100)}"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=30))
+def test_best_run_is_the_best(scores):
+    a, b = html_text.best_run([float(x) for x in scores])
+    assert sum(scores[a:b]) == max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "x" + "</i>" * 20_000, "<i>" + "<b>" * 20_000 + "</i></b>" * 20_000, "<p>" * 50_000 + "x", "<a \"'>" * 20_000 + "x", "<script>" * 20_000, "<div class='a'" * 20_000])
+def test_html_hostile_pages_are_fast(page):
+    began = time.perf_counter()
+    html_text.extract(page, {})
+    assert time.perf_counter() - began < 2
+
+
+def test_html_keeps_further_columns(spark):
+    rows = [(1, "u", "<p>one", "old text", 7, "x"), (1, "u", "<p>one", "old text", 7, "x"), (2, None, None, None, None, None)]
+    out = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, word string"), {})
+    assert sorted((r["page_id"], r["text"], r["n_chars"], r["word"]) for r in out.collect()) == [(1, "one", 3, "x"), (1, "one", 3, "x"), (2, "", 0, None)]
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
