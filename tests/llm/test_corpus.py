@@ -87,6 +87,47 @@ def test_license_labels(spark):
     assert got == {1: "apache", 2: "cc-by-nc", 3: "", 4: "gpl,lgpl"}
 
 
+def test_license_index_follows_idf(spark):
+    """The rarest word of a key phrase is looked up; anchors change the work, not what is found."""
+    text = "license license mit license license apache license mit mit mit"
+    common_mit = [(k, "mit " * 3 + "alone") for k in range(1, 40)] + [(100, text)]
+    common_license = [(k, "license " * 3 + "alone") for k in range(1, 40)] + [(100, text)]
+    one = tuple(t for t in licenses.TEMPLATES if t.name == "mit")
+    starts = {}
+    for name, rows in (("mit", common_mit), ("license", common_license)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [{r["doc_id"]: r for r in licenses.scan(docs, one, anchors).collect()}[100] for anchors in (1, 2)]
+        assert {(r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in got} == {(1, 2, 2, "mit")}
+        starts[name] = got[0]["n_starts"]
+        assert got[0]["n_aligned"] == starts[name] and got[1]["n_aligned"] == 1
+    assert starts == {"mit": 5, "license": 4}
+    idf = {"mit": 2.0, "license": 1.0}
+    assert licenses.rarest_words(idf, one[0]) == [("mit", 0), ("license", 1)] and licenses.rarest_words({"mit": 1.0, "license": 2.0}, one[0], 1) == [("license", 1)]
+
+
+def test_license_templates_by_brute_force(spark):
+    """Labels and scores of all templates, at the ends of documents too, against plain Python."""
+    rng, words = np.random.default_rng(7), sorted({w for t in licenses.TEMPLATES for w in t.words.split()})
+    rows = []
+    for i in range(200):
+        t = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = t.words.split()
+        cut = w[int(rng.integers(0, len(w))) :] if i % 3 == 0 else w[: int(rng.integers(1, len(w) + 1))] if i % 3 == 1 else w
+        noise = rng.choice(words, int(rng.integers(0, 12))).tolist()
+        rows.append((i, " ".join([*noise, *cut, *noise[::-1]] if i % 2 else cut)))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        w, labels, best = alnum(text), set(), 0.0
+        for t in licenses.TEMPLATES:
+            tw, key = t.words.split(), t.key.split()
+            first = next(k for k in range(len(tw)) if tw[k : k + len(key)] == key)
+            for s in range(-len(tw), len(w)):
+                if s + first >= 0 and w[s + first : s + first + len(key)] == key:
+                    labels.add(t.label)
+                    best = max(best, sum(0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(tw)) / len(tw))
+        assert got[i]["labels"] == ",".join(sorted(labels)) and got[i]["score"] == pytest.approx(best)
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
