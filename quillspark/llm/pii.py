@@ -13,11 +13,18 @@ patterns number a few hundred at most, whatever the corpus, so that estimation
 runs over their counts on the driver.
 
 Spans are (start, end) in code points, end exclusive. A text is cut at a
-pattern's matches: the lengths of the pieces and matches give all positions in
-one pass, leftmost and non-overlapping per kind, matches that fail are dropped.
+pattern's matches: the running sum of the lengths of pieces and matches gives
+all positions, leftmost and non-overlapping per kind, matches that fail are
+dropped. Running sums multiply their reach from step to step, so that a text with
+100,000 addresses takes no more per address than another.
 
 Cases: a null or empty text has no spans. Rows with equal doc_id are searched
-each alone. Without any candidate nothing is trained and nothing is added.
+each alone. Without any candidate nothing is trained and nothing is added; an
+empty table gives an empty result. Very long texts are searched whole, in time
+in proportion to their length (and the logarithm of their matches). find() reads
+doc_id and text alone; redact() keeps all columns, those whose names clash with
+its own too. Of spans that overlap, the one that starts first (then the longer,
+then in the order of KINDS) gives the name in a redacted text.
 """
 
 from __future__ import annotations
@@ -62,6 +69,10 @@ CUES = "mail|e-mail|email|phone|tel|telephone|call|fax|card|visa|ccn|credit|toke
 DOMAIN_ENDS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info"
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 AROUND = 24
+#: Steps of a running sum and the reach that each multiplies: 16^7 matches are more than a string holds.
+STEPS, REACH = 7, 16
+#: Code points of the blocks that a text is cut from.
+BLOCK = 4096
 
 
 def _quoted(pattern: str) -> str:
@@ -69,13 +80,12 @@ def _quoted(pattern: str) -> str:
 
 
 def _votes(kind: Kind) -> str:
-    """SQL for the labelers' votes on match y.m at y.s..y.e of text t."""
-    before = f"lower(substr(t, greatest(1, y.s + 1 - {AROUND}), least(y.s, {AROUND})))"
+    """SQL for the labelers' votes on match y.m, with y.before and y.after, what stands around it."""
     pattern = "1" if kind.base else "-1" if kind.name == "number" else "0"
-    cue = f"if({before} rlike '(?:^|[^a-z])(?:{CUES})[^a-z]*$', 1, 0)"
+    cue = f"if(lower(y.before) rlike '(?:^|[^a-z])(?:{CUES})[^a-z]*$', 1, 0)"
     if kind.name == "email":
         cue = f"if(y.m rlike '[.](?:{DOMAIN_ENDS})$', 1, {cue})"
-    context = "if(y.s = 0 or substr(t, y.s, 1) rlike '[^A-Za-z0-9_]', 1, -1) * if(substr(t, y.e + 1, 1) rlike '[A-Za-z0-9]', -1, 1)"
+    context = "if(y.before = '' or right(y.before, 1) rlike '[^A-Za-z0-9_]', 1, -1) * if(y.after rlike '[A-Za-z0-9]', -1, 1)"
     shape = {
         "email": "if(length(y.m) between 6 and 64, 1, -1)",
         "ip": "if(y.m rlike '^(?:0|10|127|255)[.]' , -1, 1)",
@@ -88,18 +98,30 @@ def _votes(kind: Kind) -> str:
     return f"array({pattern}, {cue}, {context}, {shape})"
 
 
+def _running(values: str, merged: str = "x + {y}") -> str:
+    """SQL for the array of running sums of an int array, or of what else merged says of x and an earlier y.
+
+    Step k adds to each element those 1..REACH - 1 times REACH^k places before, as far as there are any.
+    """
+    for k in range(STEPS):
+        far = REACH**k
+        values = f"""transform(array({values}), a -> if(size(a) <= {far}, a, transform(a, (own, i) ->
+          if(i < {far}, own, aggregate(sequence(1, least({REACH - 1}, cast(i div {far} as int))), own, (x, j) -> {merged.format(y=f"a[i - j * {far}]")})))))[0]"""
+    return values
+
+
 def _spans(kind: Kind) -> str:
     """SQL for the spans of one kind in text t: array of (kind, s, e, votes, long)."""
     p = _quoted(kind.pattern)
     type_ = "array<struct<kind:string,s:int,e:int,base:boolean,votes:array<int>,long:int>>"
     span = f"struct('{kind.name}' as kind, y.s as s, y.e as e, {str(kind.base).lower()} as base, {_votes(kind)} as votes, cast(least(9, floor(log2(y.e - y.s))) as int) as long)"
-    matches = f"regexp_extract_all(t, {p}, 0)"
-    walk = f"""transform(array({matches}), ms ->
-      aggregate(zip_with(ms, slice(split(t, {p}, -1), 1, size(ms)), (m, before) -> struct(m as m, length(before) as gap)),
-        struct(0 as at, cast(array() as {type_}) as found),
-        (acc, x) -> transform(array(struct(x.m as m, acc.at + x.gap as s, acc.at + x.gap + length(x.m) as e)), y ->
-          struct(y.e as at, if({kind.check}, array_append(acc.found, cast({span} as {type_[6:-1]})), acc.found) as found))[0]).found)[0]"""
-    return f"if({kind.gate}, {walk}, cast(array() as {type_}))"
+    # what stands before a match is the end of the piece before it, with the match before that piece
+    match = f"""struct(m as m, ends[i] - length(m) as s, ends[i] as e,
+      right(concat(coalesce(get(z.ms, i - 1), ''), z.gaps[i]), {AROUND}) as before, left(concat(z.gaps[i + 1], coalesce(get(z.ms, i + 1), '')), 1) as after)"""
+    lengths = "zip_with(z.ms, slice(z.gaps, 1, size(z.ms)), (m, gap) -> length(m) + length(gap))"
+    found = f"""transform(array(struct(regexp_extract_all(t, {p}, 0) as ms, split(t, {p}, -1) as gaps)), z ->
+      transform(array({_running(lengths)}), ends -> transform(filter(transform(z.ms, (m, i) -> {match}), y -> {kind.check}), y -> {span}))[0])[0]"""
+    return f"if({kind.gate}, cast({found} as {type_}), cast(array() as {type_}))"
 
 
 def candidates(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -182,12 +204,18 @@ def find(docs: DataFrame) -> DataFrame:
     return with_spans(found, accepted(found))
 
 
-_REDACTED = """
-transform(array(array_sort(spans, (a, b) -> case when a.s < b.s or (a.s = b.s and a.e > b.e) then -1 when a.s = b.s and a.e = b.e then 0 else 1 end)), xs ->
-  transform(array(aggregate(xs, struct(0 as at, cast(array() as array<string>) as out), (acc, x) ->
-    if(x.e <= acc.at, acc, struct(x.e as at, concat(acc.out, array(
-      if(x.s >= acc.at, concat(substr(text, acc.at + 1, x.s - acc.at), '[', upper(x.kind), ']'), ''))) as out)))), acc ->
-    concat(array_join(acc.out, ''), substr(text, acc.at + 1)))[0])[0]
+# A text in blocks, so that a piece of it is cut without a walk from the text's start.
+_PIECE = f"""if(y.a div {BLOCK} = y.b div {BLOCK}, substr(coalesce(get(blocks, cast(y.a div {BLOCK} as int)), ''), y.a % {BLOCK} + 1, y.b - y.a),
+  concat(substr(get(blocks, cast(y.a div {BLOCK} as int)), y.a % {BLOCK} + 1), array_join(slice(blocks, cast(y.a div {BLOCK} as int) + 2, cast(y.b div {BLOCK} - y.a div {BLOCK} as int) - 1), ''),
+    substr(coalesce(get(blocks, cast(y.b div {BLOCK} as int)), ''), 1, y.b % {BLOCK})))"""
+# A span starts a replaced stretch if it starts where all before it have ended (far: the farthest end up to each).
+_REDACTED = f"""
+transform(array(sort_array(transform(spans, (x, i) -> struct(x.s as s, -x.e as e, i as i, x.kind as kind)))), xs ->
+  transform(array({_running("transform(xs, x -> -x.e)", "greatest(x, {y})")}), far ->
+    transform(array(regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0)), blocks ->
+      concat(
+        array_join(transform(filter(transform(xs, (x, i) -> struct(coalesce(get(far, i - 1), 0) as a, x.s as b, x.kind as kind)), y -> y.a <= y.b), y -> concat({_PIECE}, '[', upper(y.kind), ']')), ''),
+        transform(array(struct(array_max(far) as a, {BLOCK} * size(blocks) as b)), y -> {_PIECE})[0]))[0])[0])[0]
 """
 
 

@@ -167,6 +167,56 @@ def test_redaction(odd):
     assert got[7]["text"] == "[EMAIL], [EMAIL][EMAIL] [IP].[IP] x [CARD] [PHONE]" and got[7]["n_chars"] == len(got[7]["text"])
 
 
+def test_dense_texts_take_linear_time(spark):
+    """100,000 addresses in one text, found and replaced within seconds; the same by brute force."""
+    text = " ".join(f"u{k}@h{k % 97}.org é" if k % 3 else f"10.0.{k % 256}.{k % 250}," for k in range(100_000))
+    frame = spark.createDataFrame([(1, text), (2, "a@b.co"), (3, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(frame)).collect()}
+    cut = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert time.perf_counter() - began < 60
+    found = spans(text)
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest() and len(found) == 100_000
+    assert cut[1] == re.sub(r"u[0-9]+@h[0-9]+\.org", "[EMAIL]", re.sub(r"10\.0\.[0-9]+\.[0-9]+", "[IP]", text)) and cut[2] == "[EMAIL]" and cut[3] is None
+
+
+@pytest.mark.parametrize("block", [1, 5, 4096])
+def test_redaction_by_brute_force(spark, monkeypatch, block):
+    rng = np.random.default_rng(block)
+    rows = [(i, "".join(rng.choice(list("ab é🙂.\n"), int(rng.integers(0, 40)))), sorted((int(a), int(a + n)) for a, n in zip(rng.integers(0, 20, 6), rng.integers(1, 9, 6), strict=True))[: int(rng.integers(0, 7))]) for i in range(150)]
+    rows = [(i, t, [("ip" if k % 2 else "card", a, min(b, len(t))) for k, (a, b) in enumerate(xs) if a < len(t)]) for i, t, xs in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<kind:string,s:int,e:int>>")
+    sql = pii._REDACTED.replace("4096", str(block))
+    got = {r["doc_id"]: r["x"] for r in frame.selectExpr("doc_id", f"if(size(spans) = 0, text, {sql}) as x").collect()}
+    for i, text, found in rows:
+        out, at = [], 0
+        for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
+            if a >= at:
+                out += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        if found:
+            out.append(text[at:])
+        assert got[i] == ("".join(out) if found else text)
+
+
+def test_added_spans_by_brute_force(spark):
+    """Each weak candidate is a span where its pattern matches, and only if the classifier takes its votes."""
+    rows = [(1, "key deadbeef00112233445566778899aabb end"), (2, "call (555) 123-4567 now"), (3, "number 4111 1111 1111 1112 x 4111 1111 1111 1111"), (4, "deadbeef00112233445566778899aabbccddeeff00112233 (555) 123-45678")]
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], c["kind"], c["s"], c["e"]) for r in found.collect() for c in r["cands"] if not c["base"]}
+    want = set()
+    for i, t in rows:
+        want |= {(i, "secret", *m.span()) for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}", t)}
+        want |= {(i, "phone_local", *m.span()) for m in re.finditer(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])", t)}
+        digits = [(m.span(), m[0].replace(" ", "")) for m in re.finditer(r"[0-9](?: ?[0-9]){12,}", t)]
+        want |= {(i, "number", *span) for span, d in digits if len(d) <= 19 and not luhn(d)}
+    assert got == want
+    accepted = pii.accepted(found)
+    kept = {r["doc_id"]: {(c["kind"], c["s"]) for c in r["spans"]} for r in pii.with_spans(found, accepted).collect()}
+    for r in found.collect():
+        assert kept[r["doc_id"]] == {(c["kind"], c["s"]) for c in r["cands"] if c["base"] or f"{c['kind']}:{','.join(map(str, c['votes']))}:{c['long']}" in accepted}
+
+
 def test_filters_keep_clashing_columns(spark):
     text = "the cat sat on the mat and ran to the house of the man " * 3
     names = ("lang_pred", "score", "n_hit", "items", "t", "spans", "cands", "contaminated")
