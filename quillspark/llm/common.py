@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,20 +25,37 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
+
+    All paths of an application lie in one folder there, named by its id: release() removes it, or whoever cleans up
+    after the application. Without the setting only a local master has a folder, a temporary one.
+    """
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/quillspark-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes this application's stored tables: for when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df once to shared storage and reads it back, which cuts the lineage there.
 
     Later uses read the files again, so neither a lost executor nor a second
-    use computes df anew.
+    use computes df anew. A path given replaces what it held, for tables of rounds.
     """
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,11 @@ the documents. Scoring looks up the n-grams of a batch in numpy.
 
 Cases: a null text and a text without letters give `und` with score 0. Rows
 that repeat are scored alike, each on its own. Without any labelled row every
-text is `und`. Ties go to the language that sorts first. Columns besides
-doc_id, text and lang aren't read.
+text is `und`. Ties go to the language that sorts first. A very long text is
+scored whole, in pieces of CHUNK_CHARS that overlap so that no n-gram is lost.
+Columns besides doc_id, text and lang aren't read; predict() replaces columns
+lang_pred and score of its input and keeps all others. Rows with a null doc_id
+are in no held-out fold. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,6 +59,17 @@ def ngram_buckets(codes: np.ndarray) -> np.ndarray:
     return np.stack([mix(two), mix(three)])
 
 
+def _pieces(starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """ngram_buckets() of codes, -1 at the last two places of each piece: their n-grams would reach into the next one."""
+    buckets = np.full((2, len(codes)), -1, np.int32)
+    if len(codes) > 2:
+        buckets[:, :-2] = ngram_buckets(codes)
+    ends = np.append(starts[1:], len(codes))
+    for back in (1, 2):
+        buckets[:, np.maximum(ends - back, starts)] = -1
+    return buckets
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: (row of each piece, start of each piece, codes). Long texts span several."""
     rows, starts, held, size = [], [], [], 0
@@ -90,9 +104,8 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, alpha: float = 0.5) -> tu
                 sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[BUCKETS] += 1
             for lang in set(langs):
                 mine = [t for x, t in zip(langs, texts, strict=True) if x == lang]
-                for _, _, codes in _chunks(mine):
-                    if len(codes) > 2:
-                        sums[lang][:BUCKETS] += np.bincount(ngram_buckets(codes).ravel(), minlength=BUCKETS)
+                for _, starts, codes in _chunks(mine):
+                    sums[lang][:BUCKETS] += np.bincount(_pieces(starts, codes).ravel() + 1, minlength=BUCKETS + 1)[1:]
         for lang, v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -115,15 +128,11 @@ def _has_letter(text: str | None) -> bool:
 def score_texts(texts: list[str | None], langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The best language and its posterior probability, for each text."""
     log = np.zeros((len(texts), len(langs)))
-    for rows, starts, codes in _chunks(texts):
-        if not langs or len(codes) < 3:
-            continue
-        buckets = ngram_buckets(codes)
-        at = np.minimum(starts, buckets.shape[1] - 1)
+    for rows, starts, codes in _chunks(texts) if langs else ():
+        buckets = _pieces(starts, codes)
         for k in range(len(langs)):
-            gained = table[k][buckets[0]] + table[k][buckets[1]]
-            sums = np.add.reduceat(gained.astype(np.float64), at)
-            np.add.at(log[:, k], rows, sums)
+            row = np.append(table[k, :BUCKETS], np.float32(0))  # -1 finds the zero at the end
+            np.add.at(log[:, k], rows, np.add.reduceat((row[buckets[0]] + row[buckets[1]]).astype(np.float64), starts))
     known = np.array([_has_letter(t) for t in texts], bool) if langs else np.zeros(len(texts), bool)
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -139,7 +148,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     common.small_batches(spark)
     model = spark.sparkContext.broadcast((langs, table))
     docs = docs.drop("lang_pred", "score")
-    schema = f"{docs._jdf.schema().toDDL()}, lang_pred string, score double" if docs.columns else "lang_pred string, score double"
+    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

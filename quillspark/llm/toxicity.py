@@ -15,7 +15,10 @@ of a known stem still count.
 
 Cases: a null text or one without words scores 0. Without labels of both
 classes every score is 0. Documents with several label rows take the highest.
-Rows with equal doc_id are each scored.
+Rows with equal doc_id are each scored; of equally bad sentences the first is
+the worst. Very long texts are scored whole, but not learned from. score()
+replaces columns of its own names and keeps all others; locate() reads doc_id
+and text. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from . import common
 
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 2500
 #: Longer documents aren't trained on, so that the sample has a size bound; they are scored like all others.
-TRAIN_DOC_CHARS = 200_000
+TRAIN_DOC_CHARS = 30_000
 THRESHOLD = 0.3
 PREFIXES = (3, 4, 5, 6)
 #: Words whose weight a worker remembers.
@@ -86,41 +89,67 @@ class Model:
         return score, count, worst, top
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 80, least_docs: int = 3, rate: float = 0.3, decay: float = 5e-5) -> Model:
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=-1))]
+
+
+class Bags:
+    """Texts as bags of sentences: the arrays that the likelihood needs."""
+
+    def __init__(self, texts: list[str], least_docs: int = 1):
+        known, number = {}, {}
+        owner, sent, word = [], [], []
+        for d, text in enumerate(texts):
+            for words in sentences(text or ""):
+                word.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+                sent.append(np.full(len(words), len(owner)))
+                owner.append(d)
+        none = [np.zeros(0, np.int64)]
+        self.docs, self.words = len(texts), len(known)
+        self.owner, self.sent, self.word = np.array(owner, np.int64), np.concatenate(sent or none), np.concatenate(word or none)
+        pairs = [(k, number.setdefault(f, len(number))) for w, k in known.items() for f in features(w)]
+        of, feature = np.array(pairs, np.int64).reshape(-1, 2).T
+        # documents of each feature: distinct (word, document), spread over the word's features
+        held = _distinct(self.word * self.docs + self.owner[self.sent]) if owner else none[0]
+        first, times = np.searchsorted(of, held // max(1, self.docs)), np.bincount(of, minlength=self.words)[held // max(1, self.docs)]
+        spread = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        seen = _distinct(feature[spread] * self.docs + np.repeat(held % max(1, self.docs), times))
+        keep = np.bincount(seen // max(1, self.docs), minlength=len(number)) >= least_docs
+        self.names = [f for f, k in zip(number, keep, strict=True) if k]
+        self.of, self.feature = of[keep[feature]], (np.cumsum(keep) - 1)[feature[keep[feature]]]
+
+    def likelihood(self, w: np.ndarray, b: float, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, float]:
+        """The weighted negative log of the noisy-or likelihood, and its slopes in w and b."""
+        per_word = np.bincount(self.of, weights=w[self.feature], minlength=self.words)
+        z = np.bincount(self.sent, weights=per_word[self.word], minlength=len(self.owner)) + b
+        # -log of the chance that no sentence is toxic
+        total = np.maximum(np.bincount(self.owner, weights=np.logaddexp(0, z), minlength=self.docs), 1e-6)
+        loss = (weight * np.where(y, -np.log(-np.expm1(-total)), total)).sum()
+        back = (np.where(y, -1 / np.expm1(np.minimum(total, 500)), 1.0) * weight)[self.owner] / (1 + np.exp(-z))
+        of_word = np.bincount(self.word, weights=back[self.sent], minlength=self.words)
+        return float(loss), np.bincount(self.feature, weights=of_word[self.of], minlength=len(self.names)), float(back.sum())
+
+
+def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 80, least_docs: int = 3, rate: float = 0.3, decay: float = 2e-5) -> Model:
     """share: the true share of label 1. Adam on the weighted noisy-or likelihood."""
-    number: dict[str, int] = {}
-    sent_doc, sent, feat = [], [], []
-    for d, text in enumerate(texts):
-        for words in sentences(text or ""):
-            mine = {number.setdefault(f, len(number)) for w in words for f in features(w)}
-            feat.append(np.fromiter(mine, np.int32, len(mine)))
-            sent.append(np.full(len(mine), len(sent_doc), np.int32))
-            sent_doc.append(d)
-    if not sent_doc or len(set(labels.tolist())) < 2:
+    bags = Bags(texts, least_docs)
+    if not len(bags.owner) or len(set(labels.tolist())) < 2:
         return Model({}, -50.0)
-    feat, sent, sent_doc = np.concatenate(feat), np.concatenate(sent), np.array(sent_doc)
-    pairs = np.unique(feat.astype(np.int64) * len(texts) + sent_doc[sent])
-    keep = np.bincount(pairs // len(texts), minlength=len(number)) >= least_docs
-    renumber = np.cumsum(keep) - 1
-    sent, feat = sent[keep[feat]], renumber[feat[keep[feat]]]
-    n, m, docs = int(keep.sum()), len(sent_doc), len(texts)
     y = labels.astype(bool)
     weight = np.where(y, share / y.sum(), (1 - share) / (~y).sum())
-    w, b = np.zeros(n), np.log(share / (m / docs))
+    n = len(bags.names)
+    w, b = np.zeros(n), np.log(share / (len(bags.owner) / bags.docs))
     mean, var, mean_b, var_b = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(sent, weights=w[feat], minlength=m) + b
-        total = np.maximum(np.bincount(sent_doc, weights=np.logaddexp(0, z), minlength=docs), 1e-6)
-        slope = np.where(y, -1 / np.expm1(np.minimum(total, 500)), 1.0) * weight
-        back = slope[sent_doc] / (1 + np.exp(-z))
-        grad, grad_b = np.bincount(feat, weights=back[sent], minlength=n) + decay, back.sum()
+        _, grad, grad_b = bags.likelihood(w, b, y, weight)
+        grad = grad + decay
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         mean_b, var_b = 0.9 * mean_b + 0.1 * grad_b, 0.999 * var_b + 0.001 * grad_b**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w = np.maximum(0.0, w - rate * (mean / c1) / (np.sqrt(var / c2) + 1e-8))
         b -= rate * (mean_b / c1) / (np.sqrt(var_b / c2) + 1e-8)
-    names = [f for f, k in zip(number, keep, strict=True) if k]
-    return Model({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3}, float(b))
+    return Model({f: float(v) for f, v in zip(bags.names, w, strict=True) if abs(v) > 1e-3}, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSITIVE, negative: int = TRAIN_NEGATIVE) -> Model:

@@ -416,11 +416,48 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd).collect()} == {"und"}  # no labels at all
 
 
+def test_language_by_brute_force(spark):
+    """Counts, probabilities and choices of the naive Bayes against a plain one over the same buckets; ties go to the first language."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join(rng.choice(list("abc dé.漢 "), int(rng.integers(0, 60)))), ["xx", "yy", "zz", None][i % 4]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language_id.train(docs)
+
+    def grams(text):
+        clean = " " + "".join(c if ord(c) >= 128 or "a" <= c <= "z" else " " for c in text.lower()) + "  "
+        out = Counter()
+        for k in range(len(clean) - 2):
+            code = np.array([ord(c) for c in clean[k : k + 3]], np.uint32)
+            out.update(int(b[0]) for b in language_id.ngram_buckets(code))
+        return out
+
+    counts, n = {x: Counter() for x in ("xx", "yy", "zz")}, Counter()
+    for _, text, lang in rows:
+        if lang:
+            counts[lang].update(grams(text))
+            n[lang] += 1
+    assert langs == ["xx", "yy", "zz"]
+    log = {x: {b: np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * language_id.BUCKETS)) for _, t, _ in rows for b in grams(t)} for x in langs}
+    got = {r["doc_id"]: r for r in language_id.predict(docs, langs, table).collect()}
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        total = [np.log(n[x] / sum(n.values())) + sum(k * log[x][b] for b, k in grams(text).items()) for x in langs]
+        post = np.exp(np.array(total) - max(total))
+        best = int(np.argmax(total))
+        assert got[i]["score"] == pytest.approx(post[best] / post.sum(), abs=1e-3)
+        if sorted(total)[-1] - sorted(total)[-2] > 1e-3:
+            assert got[i]["lang_pred"] == langs[best]
+    tied = spark.createDataFrame([(1, "abc", "yy"), (2, "abc", "xx")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.predict(tied, *language_id.train(tied)).collect()} == {"xx"}
+
+
 def test_language_chunks_lose_nothing(monkeypatch):
     text = "ab cd ef gh " * 50
-    whole = [x for _, _, c in language_id._chunks([text]) for x in language_id.ngram_buckets(c).ravel()]
+    whole = [x for _, at, c in language_id._chunks([text]) for x in language_id._pieces(at, c).ravel() if x >= 0]
     monkeypatch.setattr(language_id, "CHUNK_CHARS", 40)
-    cut = [x for _, _, c in language_id._chunks([text]) for x in language_id.ngram_buckets(c).ravel()]
+    cut = [x for _, at, c in language_id._chunks([text]) for x in language_id._pieces(at, c).ravel() if x >= 0]
     assert Counter(whole) == Counter(cut)
 
 
@@ -445,6 +482,49 @@ def test_toxicity_learns_and_locates(spark, odd):
     assert toxicity.score(docs, empty).filter("score > 1e-9").count() == 0
 
 
+def test_noisy_or_by_brute_force(spark):
+    """Likelihood, slopes and scores against plain Python; of equally bad sentences the first is the worst."""
+    texts = ["You grob. the cat! The dog\nsat grob grob", "", "a. b. c", None, "grobnik", "12 34", "the cat sat"]
+    y, weight = np.array([1, 0, 0, 0, 1, 0, 0], bool), np.array([0.3, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1])
+    bags = toxicity.Bags(texts, 2)
+    docs_of = Counter(f for t in texts for f in {f for s in toxicity.sentences(t or "") for w in s for f in toxicity.features(w)})
+    assert set(bags.names) == {f for f, n in docs_of.items() if n >= 2}
+    rng = np.random.default_rng(4)
+    w, b = rng.uniform(0, 1, len(bags.names)), -0.7
+
+    def plain(w, b):
+        by_name, loss, scores = dict(zip(bags.names, w, strict=True)), 0.0, []
+        for d, t in enumerate(texts):
+            none = 1.0
+            for s in toxicity.sentences(t or ""):
+                none *= 1 - 1 / (1 + np.exp(-(b + sum(by_name.get(f, 0) for x in s for f in toxicity.features(x)))))
+            scores.append(1 - none)
+            loss -= weight[d] * np.log(max(1 - none, 1e-6) if y[d] else min(none, np.exp(-1e-6)))
+        return loss, scores
+
+    loss, slope, slope_b = bags.likelihood(w, b, y, weight)
+    want, scores = plain(w, b)
+    assert loss == pytest.approx(want, rel=1e-5)
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-5
+        assert slope[k] == pytest.approx((plain(w + step, b)[0] - plain(w - step, b)[0]) / 2e-5, abs=1e-6)
+    assert slope_b == pytest.approx((plain(w, b + 1e-5)[0] - plain(w, b - 1e-5)[0]) / 2e-5, abs=1e-6)
+    model = toxicity.Model(dict(zip(bags.names, w, strict=True)), b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(rows, model).collect()}
+    assert [got[d]["score"] for d in range(len(texts))] == pytest.approx(scores)
+    assert got[2]["worst_sentence"] == 0 and got[3]["worst_sentence"] == -1 and got[2]["n_sentences"] == 3
+
+
+def test_toxicity_held_out(spark):
+    """Recall and precision on the labelled rows that training never saw."""
+    got = queries.op6_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").select("doc_id", "predicted")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    n = Counter((r["toxic"], r["predicted"]) for r in got.join(labels, "doc_id").collect())
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[1, 1] >= 0.9 * (n[1, 1] + n[0, 1]), n
+
+
 # 7 and 10 ------------------------------------------------------------------------------------------------------------
 
 
