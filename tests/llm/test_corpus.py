@@ -291,6 +291,34 @@ def test_jaccard_chains_and_groups(spark):
     check_components(spark.createDataFrame(pairs, "doc_id long, text string"), pairs)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_hot_groups(spark, monkeypatch, small):
+    """Large groups, common passages and templates that don't link, with every bound so small that all hot keys are split."""
+    if small:
+        for name, value in {"FRAGMENT_GRAMS": 100, "FRAGMENTS": 4, "COMMON_LEAST": 2, "HOT_ROWS": 5}.items():
+            monkeypatch.setattr(jaccard, name, value)
+    rng, pairs = np.random.default_rng(11), []
+
+    def add(words):
+        pairs.append((1000 - len(pairs), " ".join(words)))
+
+    for group in range(4):
+        core = [f"k{group}g{i}" for i in range(60)]
+        for k in range(25):  # near copies, of which some lie beyond the bound
+            words = core[:]
+            for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+                words[int(at)] = f"r{group}x{k}"
+            add(words[: int(rng.integers(45, 61))])
+    template = [f"t{i}" for i in range(80)]
+    for k in range(60):  # a template of about 80 per cent of each text
+        add([*template, *(f"own{k}x{i}" for i in range(int(rng.integers(10, 30))))])
+    for k in range(40):  # exact copies
+        add([f"c{i}" for i in range(30)] if k % 2 else [f"d{i}" for i in range(3)])
+    for k in range(30):  # lengths in steps
+        add([f"s{i}" for i in range(20 + 3 * k)])
+    check_components(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5), pairs)
+
+
 def test_first_of_each_keeps_columns(documents):
     kept = jaccard.first_of_each(documents)
     assert kept.columns == documents.columns
