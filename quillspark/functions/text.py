@@ -56,9 +56,9 @@ def plain_numbers(c: Column) -> Column:
 
 def shape(normalized: Column) -> Column:
     """Letters, digit count and whether a letter trails, as text: `S3x`."""
-    letters = F.regexp_extract(normalized, "^([A-Z]+)([0-9]+)([A-Z]?)$", 1)
-    digits = F.regexp_extract(normalized, "^([A-Z]+)([0-9]+)([A-Z]?)$", 2)
-    tail = F.regexp_extract(normalized, "^([A-Z]+)([0-9]+)([A-Z]?)$", 3)
+    letters = F.regexp_extract(normalized, "^([A-Z]{1,3})([0-9]+)([A-Z]?)$", 1)
+    digits = F.regexp_extract(normalized, "^([A-Z]{1,3})([0-9]+)([A-Z]?)$", 2)
+    tail = F.regexp_extract(normalized, "^([A-Z]{1,3})([0-9]+)([A-Z]?)$", 3)
     return F.when(digits == "", None).otherwise(F.concat(letters, F.length(digits).cast("string"), F.when(tail == "", "").otherwise("x")))
 
 

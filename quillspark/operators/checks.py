@@ -25,7 +25,7 @@ def dangling_references(references: DataFrame, issued: DataFrame) -> DataFrame:
     known = issued.select(text.normalize(F.col("sheet")).alias("sheet")).distinct()
     shapes = known.select(text.shape(F.col("sheet")).alias("shape")).filter("shape is not null").groupBy("shape").agg(F.count("*").alias("n_shape"))
     wanted = references.select("page_id", text.normalize(F.col("sheet")).alias("sheet")).distinct()
-    missing = wanted.join(known, "sheet", "left_anti").withColumn("shape", text.shape(F.col("sheet"))).join(F.broadcast(shapes), "shape")
+    missing = wanted.join(known, "sheet", "left_anti").withColumn("shape", text.shape(F.col("sheet"))).join(shapes, "shape")
     found = missing.groupBy("sheet").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("n_shape").alias("n_shape"))
     return found.select("sheet", "n_pages", "first_page", F.when(F.col("n_shape") >= 2, "high").otherwise("low").alias("confidence"), text.fingerprint(F.lit("dangling_reference"), F.col("sheet")).alias("fingerprint"))
 
@@ -51,7 +51,7 @@ def open_items(chunks: DataFrame) -> DataFrame:
 def unscheduled_marks(marks: DataFrame, scheduled: DataFrame) -> DataFrame:
     """Marks on plans that their family's schedule lacks; families without a schedule are not judged."""
     families = scheduled.select("family").distinct()
-    judged = marks.join(F.broadcast(families), "family", "left_semi")
+    judged = marks.join(families, "family", "left_semi")
     return judged.join(scheduled.select("family", "mark").distinct(), ["family", "mark"], "left_anti").groupBy("family", "mark").agg(F.countDistinct("page_id").alias("n_pages"), F.min("page_id").alias("first_page"))
 
 

@@ -11,11 +11,11 @@ CACHE_READ, CACHE_WRITE, BATCH = 0.1, 1.25, 0.5
 def rated(events: DataFrame, rates: DataFrame) -> DataFrame:
     """events with rate_in and rate_out (USD per million tokens): exact model, or half of it with `-batch`; else null.
 
-    rates is a price list of a few rows.
+    The optimizer broadcasts rates, a price list, if its size allows.
     """
     plain = F.regexp_replace("model", "-batch$", "")
     half = F.when(F.col("model").endswith("-batch"), BATCH).otherwise(1.0)
-    prices = F.broadcast(rates.select(F.col("model").alias("plain"), "rate_in", "rate_out"))
+    prices = rates.select(F.col("model").alias("plain"), "rate_in", "rate_out")
     out = events.withColumn("plain", plain).join(prices, "plain", "left").drop("plain")
     return out.withColumn("rate_in", F.col("rate_in") * half).withColumn("rate_out", F.col("rate_out") * half)
 

@@ -46,7 +46,7 @@ def merge_candidates(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 def unresolved(stored: DataFrame, found: DataFrame, ran: DataFrame) -> DataFrame:
     """stored without pending rows of checks that ran and no longer give them."""
-    gone = stored.filter("status = 'pending'").join(F.broadcast(ran.select("check_type").distinct()), "check_type", "left_semi").join(found.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    gone = stored.filter("status = 'pending'").join(ran.select("check_type").distinct(), "check_type", "left_semi").join(found.select("fingerprint").distinct(), "fingerprint", "left_anti")
     return stored.join(gone.select("fingerprint"), "fingerprint", "left_anti")
 
 

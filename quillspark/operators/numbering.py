@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _joined(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of groups, one row per (key, _coarse); null keys are keys like others."""
+    other = groups.withColumnsRenamed({key: "_key", "_coarse": "_group"})
+    return rows.join(other, F.col(key).eqNullSafe(F.col("_key")) & F.col("_coarse").eqNullSafe(F.col("_group"))).drop("_key", "_group")
+
+
 def running(rows: DataFrame, key: str, coarse: Column, order: list[str], value: Column | None = None) -> DataFrame:
     """rows with before: the sum of value (default: the number) of the key's rows that come earlier in the order.
 
-    coarse must not fall along the order. Without nulls in key and order the result is that of one window per key.
+    coarse must not fall along the order. The result is that of one window per key; rows with a null key are one more.
     """
     rows = rows.withColumn("_coarse", coarse).withColumn("_value", F.lit(1) if value is None else value)
     totals = rows.groupBy(key, "_coarse").agg(F.sum("_value").alias("_total"))
     base = totals.withColumn("_base", F.sum("_total").over(Window.partitionBy(key).orderBy("_coarse")) - F.col("_total")).drop("_total")
     inner = Window.partitionBy(key, "_coarse").orderBy(*order)
     within = rows.withColumn("_within", F.sum("_value").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_value"))
-    return within.join(base, [key, "_coarse"]).withColumn("before", (F.col("_base") + F.col("_within")).cast("bigint")).drop("_coarse", "_value", "_base", "_within")
+    return _joined(within, base, key).withColumn("before", (F.col("_base") + F.col("_within")).cast("bigint")).drop("_coarse", "_value", "_base", "_within")
 
 
 def offsets(documents: DataFrame, project: str, coarse: Column, order: list[str]) -> DataFrame:
@@ -78,7 +84,7 @@ def filled(rows: DataFrame, key: str, coarse: Column, order: list[str], value: s
         key, "_coarse", F.last("_end", True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
         F.first("_start", True).over(outer.rowsBetween(0, Window.unboundedFollowing)).alias("_later"),
     )
-    return near.join(ends, [key, "_coarse"]).withColumn("filled", F.coalesce("_last", "_earlier", "_later", F.lit(default))).drop("_coarse", "_last", "_earlier", "_later")
+    return _joined(near, ends, key).withColumn("filled", F.coalesce("_last", "_earlier", "_later", F.lit(default))).drop("_coarse", "_last", "_earlier", "_later")
 
 
 def batches(rows: DataFrame, key: str, coarse: Column, order: list[str], size: int = 10) -> DataFrame:
