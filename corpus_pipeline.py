@@ -1,6 +1,13 @@
 """A corpus pipeline: language, near duplicates, benchmark passages, personal data, packing.
 
-Each stage takes all that the one before it kept, written as Parquet and read again.
+Each stage takes all that the one before it kept, written as Parquet and read again. All but the last keep the columns
+of documents, whatever further ones there are and whatever they are called.
+
+Cases: null, empty and letterless texts are of no known language and go in the first stage, so that later ones see none.
+Of rows that repeat, and of near copies, the one with the smallest doc_id stays (nulls last); rows with a null or a
+repeated doc_id are told apart by a key of their own, and those that are linked with nothing all stay. Ties between
+languages go to the one that sorts first. Very long texts are taken whole in every stage. Without labelled rows no
+language is known and nothing stays; an empty table gives no sequences; an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
