@@ -756,12 +756,29 @@ def test_ablation(documents):
 # all -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", [*sorted(queries.QUERIES), "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
+    import corpus_pipeline
+
     kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
     for t, schema in kinds.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
-    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+    assert (queries.QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, clashing columns and no benchmark: one of each group stays, with its own ids."""
+    import corpus_pipeline
+
+    one, two = "the cat sat on the mat and ran to the house of the man " * 3, "a dog is in the garden with the children and plays there all day long"
+    rows = [(1, one, "en"), (1, one, "en"), (None, one, None), (5, two, "en"), (5, two + " too", "en"), (6, None, "en"), (7, "", None), (8, "12 34", "en")]
+    rows += [(100 + k, f"{k} words of another text number {k} that stands alone {k * 7} here {k * 3}", "en") for k in range(8)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or ""), "own", 1.5) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = [(r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0]
+    assert sorted(i for i, _ in texts) == sorted([1, 5, *range(100, 108)])
 
 
 def test_pipeline(spark, small, documents):
