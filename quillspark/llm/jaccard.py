@@ -254,10 +254,13 @@ class Dealt:
     """
 
     def __init__(self, many: DataFrame, key: str):
-        self.key, self.most = key, max(HOT_ROWS, many.count() // HOT_KEYS)
-        hot = many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > self.most)
-        self.hot = {r[key]: -(-r["_rows"] // self.most) for r in hot.collect()}
-        self.table = many.sparkSession.createDataFrame(list(self.hot.items()), f"{key} {many.schema[key].dataType.simpleString()}, _parts bigint")
+        total = many.count()
+        self.key, self.most, self.hot = key, max(HOT_ROWS, total // HOT_KEYS), {}
+        if total > self.most:  # else no key can have more
+            hot = many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > self.most)
+            self.hot = {r[key]: -(-r["_rows"] // self.most) for r in hot.collect()}
+        if self.hot:
+            self.table = many.sparkSession.createDataFrame(list(self.hot.items()), f"{key} {many.schema[key].dataType.simpleString()}, _parts bigint")
 
     def many(self, df: DataFrame) -> DataFrame:
         """Rows with a part each, by a hash of all their columns."""
