@@ -291,12 +291,15 @@ def prefixes(classes: DataFrame) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b): those that link. Partial overlaps per vertical fragment of the global order, summed per pair."""
+    """Of stored pairs (a, b): those that link. Partial overlaps per vertical fragment of the global order, summed per pair."""
     cut = classes.select("class", "n", "grams", F.explode(F.expr("array_distinct(transform(grams, x -> cast(log2(x.df) as int)))")).alias("fragment"))
     parts = cut.select("class", "n", "fragment", F.expr("transform(filter(grams, x -> cast(log2(x.df) as int) = fragment), x -> x.g)").alias("grams"))
     a = parts.select(F.col("class").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("grams_a"))
     b = parts.select(F.col("class").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("partial"))
+    # a star's centre stands in many pairs, at either end
+    with_a, at_b = Dealt(pairs, "a").join(pairs, a), Dealt(pairs, "b")
+    met = at_b.many(with_a).join(at_b.few(b), ["b", "fragment", "_part"])
+    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("partial"))
     total = partial.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("partial").alias("overlap"))
     # overlap / (n_a + n_b - overlap) >= 3/4
     return total.filter("7 * overlap >= 3 * (n_a + n_b)").select("a", "b")
@@ -372,7 +375,8 @@ def link_classes(classes: DataFrame) -> DataFrame:
     roots = connected(links)
 
     # what is left: pairs of different components with a common hash in both prefixes
-    rows = prefix.join(roots.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # a very long text has very many prefix rows
+    rows = Dealt(prefix, "class").join(prefix, roots.withColumnRenamed("v", "class"), "left").withColumn("root", F.coalesce("root", "class"))
     several = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("g")
     rows = common.stored(by_gram.join(rows, several).select("g", "class", "n", "pos", "root"), "open-prefixes")
     pairs = cross_pairs(rows)
