@@ -62,9 +62,9 @@ def shape(normalized: Column) -> Column:
     return F.when(digits == "", None).otherwise(F.concat(letters, F.length(digits).cast("string"), F.when(tail == "", "").otherwise("x")))
 
 
-def table_markdown(rows: Column) -> Column:
-    """Rows of cells (array<array<string>>) as a pipe table with the first row as its head."""
-    cell = lambda x: F.trim(F.regexp_replace(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " "))
+def table_markdown(rows: Column, clean: bool = False) -> Column:
+    """Rows of cells (array<array<string>>) as a pipe table with the first row as its head; clean: cells need no escapes."""
+    cell = lambda x: x if clean else F.trim(F.regexp_replace(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " "))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(rows[0], lambda _: F.lit("---")), " | "), F.lit(" |"))
     body = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)

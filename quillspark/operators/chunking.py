@@ -17,6 +17,8 @@ from ..functions import text
 WINDOW_WORDS = int(text.MAX_TOKENS / text.TOKENS_PER_WORD)
 STEP_WORDS = WINDOW_WORDS - int(text.OVERLAP_TOKENS / text.TOKENS_PER_WORD)
 TARGET_TOKENS = 400
+#: Boxes beyond which a page is one cluster (a fixed value).
+PAGE_BOXES = 4000
 
 
 def word_windows(docs: DataFrame, key: str, body: str = "text", window: int = WINDOW_WORDS, step: int = STEP_WORDS) -> DataFrame:
@@ -52,16 +54,18 @@ def packed(blocks: DataFrame, key: str, order: str, most: int = text.MAX_TOKENS,
     return blocks.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)
 
 
-def clusters(boxes: DataFrame, page: str, least_gap: float = 18.0, share: float = 0.02) -> DataFrame:
+def clusters(boxes: DataFrame, page: str, least_gap: float = 18.0, share: float = 0.02, box_id: str = "box_id") -> DataFrame:
     """boxes (page, box_id, x0, y0, x1, y1, width, height) with cluster: its smallest box_id.
 
-    Two boxes join when their gap is at most max(18, 2 % of the page's short side) on both axes. A page's boxes are one
-    group of bounded size; a sweep over x keeps the comparisons near linear.
+    Two boxes join when their gap is at most max(18, 2 % of the page's short side, if known) on both axes. A page of more
+    than PAGE_BOXES boxes is one cluster and needs no comparison; other pages are groups of that size at most, and a
+    sweep over x keeps the comparisons near linear.
     """
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x0", "box_id"], kind="stable").reset_index(drop=True)
-        reach = max(least_gap, share * min(pdf["width"].iloc[0], pdf["height"].iloc[0]))
+        pdf = pdf.sort_values(["x0", box_id], kind="stable").reset_index(drop=True)
+        short = min(pdf["width"].iloc[0], pdf["height"].iloc[0])
+        reach = max(least_gap, share * short) if short > 0 else least_gap
         parent = list(range(len(pdf)))
 
         def root(i: int) -> int:
@@ -78,7 +82,10 @@ def clusters(boxes: DataFrame, page: str, least_gap: float = 18.0, share: float
                     parent[root(i)] = root(j)
             open_.append(i)
         roots = pd.Series([root(i) for i in range(len(pdf))])
-        return pdf.assign(cluster=pdf["box_id"].groupby(roots).transform("min"))
+        return pdf.assign(cluster=pdf[box_id].groupby(roots).transform("min"))
 
-    schema = boxes.withColumn("cluster", F.col("box_id")).schema
-    return boxes.groupBy(page).applyInPandas(join, schema)
+    schema = boxes.withColumn("cluster", F.col(box_id)).schema
+    counts = boxes.groupBy(page).agg(F.count("*").alias("_boxes"), F.min(box_id).alias("cluster"))
+    full = boxes.join(counts.filter(F.col("_boxes") > PAGE_BOXES).select(page, "cluster"), page)
+    rest = boxes.join(counts.filter(F.col("_boxes") <= PAGE_BOXES).select(page), page, "left_semi")
+    return rest.groupBy(page).applyInPandas(join, schema).unionByName(full)

@@ -64,9 +64,9 @@ def associated_labels(spark, d):
     return drawings.associated(rows.groupBy("label_id", "body_id").agg(F.min("distance").alias("distance"), F.bool_or("agrees").alias("agrees")))
 
 
-@query("with n as (select n_regionkey as page, n_name as label, n_nationkey * 1.0 as position from nation) select c.page, concat(c.label, '/', r.label) as crossing, cast(c.position as double) as x, cast(r.position as double) as y from n c join n r using (page)")
+@query("with n as (select p_partkey // 20 as page, cast(p_partkey as varchar) as label, p_partkey % 20 * 1.0 as position from part) select c.page, concat(c.label, '/', r.label) as crossing, cast(c.position as double) as x, cast(r.position as double) as y from n c join n r using (page)")
 def grid_crossings(spark, d):
-    lines = table(spark, d, "nation").selectExpr("n_regionkey as page", "n_name as label", "cast(n_nationkey as double) as position")
+    lines = table(spark, d, "part").selectExpr("p_partkey div 20 as page", "cast(p_partkey as string) as label", "cast(p_partkey % 20 as double) as position")
     return drawings.intersections(lines, lines)
 
 
@@ -82,11 +82,11 @@ def schedule_rows(spark, d):
     return drawings.schedule_rows(marks, 300.0).select("page", "family", "left", "mark_id", "text")
 
 
-@query("with a as (select n_regionkey as pair, n_name as label, n_nationkey * 10.0 as position from nation), b as (select n_regionkey as pair, n_name as label, n_nationkey * 10.0 + case when n_nationkey % 4 = 0 then 2 else 0 end as position from nation), x as (select pair, label as start, lead(label) over w as e, lead(position) over w - position as wa from a window w as (partition by pair order by position)), y as (select pair, label as start, lead(label) over w as e, lead(position) over w - position as wb from b window w as (partition by pair order by position)) select pair, start, x.e as \"end\", cast(wa as double) as width_a, cast(wb as double) as width_b, cast(wb - wa as double) as difference from x join y using (pair, start) where x.e = y.e and abs(wb - wa) > 1")
+@query("with a as (select p_partkey // 20 as pair, cast(p_partkey as varchar) as label, p_partkey % 20 * 10.0 as position from part), b as (select p_partkey // 20 as pair, cast(p_partkey as varchar) as label, p_partkey % 20 * 10.0 + case when p_partkey % 4 = 0 then 2 else 0 end as position from part), x as (select pair, label as start, lead(label) over w as e, lead(position) over w - position as wa from a window w as (partition by pair order by position)), y as (select pair, label as start, lead(label) over w as e, lead(position) over w - position as wb from b window w as (partition by pair order by position)) select pair, start, x.e as \"end\", cast(wa as double) as width_a, cast(wb as double) as width_b, cast(wb - wa as double) as difference from x join y using (pair, start) where x.e = y.e and abs(wb - wa) > 1")
 def spacing_differences(spark, d):
-    n = table(spark, d, "nation")
-    a = n.selectExpr("n_regionkey as pair", "n_name as label", "n_nationkey * 10D as position")
-    return drawings.spacing_differences(a, n.selectExpr("n_regionkey as pair", "n_name as label", "n_nationkey * 10D + if(n_nationkey % 4 = 0, 2, 0) as position"), 1.0)
+    n = table(spark, d, "part").selectExpr("p_partkey", "p_partkey div 20 as pair", "cast(p_partkey as string) as label", "p_partkey % 20 * 10D as position")
+    a = n.select("pair", "label", "position")
+    return drawings.spacing_differences(a, n.selectExpr("pair", "label", "position + if(p_partkey % 4 = 0, 2, 0) as position"), 1.0)
 
 
 @query("with s as (select l_partkey as mark, min(l_orderkey) as schedule_page from lineitem where l_returnflag = 'R' group by 1), p as (select l_partkey as mark, min(l_orderkey) as plan_page from lineitem where l_linestatus = 'F' group by 1) select mark, schedule_page, plan_page from s join p using (mark)")

@@ -250,16 +250,22 @@ def word_windows(spark, d):
     return chunking.word_windows(table(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query("""with recursive b as (select l_suppkey, l_orderkey * 10 + l_linenumber as block, cast(sum(cast(l_quantity * 5 as int)) as int) as tokens from lineitem group by 1, 2), r as (select *, row_number() over (partition by l_suppkey order by block) as k from b),
+  f as (select l_suppkey, block, tokens, k, 0 as chunk, tokens as size from r where k = 1
+    union all select r.l_suppkey, r.block, r.tokens, r.k, f.chunk + case when f.size + r.tokens > 800 and f.size >= 400 then 1 else 0 end, r.tokens + case when f.size + r.tokens > 800 and f.size >= 400 then 0 else f.size end from f join r on r.l_suppkey = f.l_suppkey and r.k = f.k + 1)
+  select l_suppkey, block, tokens, chunk from f""")
 def packed_chunks(spark, d):
     blocks = table(spark, d, "lineitem").selectExpr("l_suppkey", "l_orderkey * 10 + l_linenumber as block", "cast(l_quantity * 5 as int) as tokens", "l_partkey")
     return chunking.packed(blocks.groupBy("l_suppkey", "block").agg(F.sum("tokens").cast("int").alias("tokens")), "l_suppkey", "block")
 
 
-@query()
+@query("""with recursive b as (select p_partkey // 50 as page, p_partkey as box_id, p_partkey * 37 % 1000 as x0, p_partkey * 91 % 700 as y0, p_partkey * 37 % 1000 + p_size as x1, p_partkey * 91 % 700 + 12 as y1 from part),
+  e as (select a.page, a.box_id as u, c.box_id as v from b a join b c on a.page = c.page and greatest(a.x0 - c.x1, c.x0 - a.x1, a.y0 - c.y1, c.y0 - a.y1) <= 18),
+  r as (select page, u, v from e union select r.page, r.u, e.v from r join e on e.page = r.page and e.u = r.v)
+  select page, u as box_id, min(v) as cluster from r group by 1, 2""")
 def block_clusters(spark, d):
     boxes = table(spark, d, "part").selectExpr(
-        "p_partkey % 40 as page", "p_partkey as box_id", "cast(p_partkey * 37 % 1000 as double) as x0", "cast(p_partkey * 91 % 700 as double) as y0", "cast(p_partkey * 37 % 1000 + p_size as double) as x1", "cast(p_partkey * 91 % 700 + 12 as double) as y1", "1100D as width", "800D as height"
+        "p_partkey div 50 as page", "p_partkey as box_id", "cast(p_partkey * 37 % 1000 as double) as x0", "cast(p_partkey * 91 % 700 as double) as y0", "cast(p_partkey * 37 % 1000 + p_size as double) as x1", "cast(p_partkey * 91 % 700 + 12 as double) as y1", "1100D as width", "800D as height"
     )
     return chunking.clusters(boxes, "page").select("page", "box_id", "cluster")
 
@@ -451,10 +457,11 @@ def mark_axes(spark, d):
     return geometry.axes(marks, "page", "y", 4.0, 3).select("mark_id", "page", F.col("axis").cast("bigint").alias("axis"), "n")
 
 
-@query("select n_nationkey as pair, cast(7 + n_nationkey as double) as shift, cast(6 as bigint) as votes from nation")
+@query("with p as (select p_partkey // 6 as pair, count(*) as n from part group by 1) select pair, cast(7 + pair % 50 as double) as shift, n as votes from p where n >= 3")
 def shift_votes(spark, d):
-    lines = table(spark, d, "nation").select(F.col("n_nationkey").alias("pair"), F.explode(F.array(*[F.lit(float(v)) for v in (0, 110, 230, 370, 530, 710)])).alias("position"))
-    return geometry.vote_shift(lines, lines.select("pair", (F.col("position") + 7 + F.col("pair")).alias("position")), "pair", 2.0).select("pair", "shift", "votes")
+    # six parts a pair, at six places whose distances all differ
+    lines = table(spark, d, "part").selectExpr("p_partkey div 6 as pair", "element_at(array(0D, 110D, 230D, 370D, 530D, 710D), cast(p_partkey % 6 as int) + 1) as position")
+    return geometry.vote_shift(lines, lines.selectExpr("pair", "position + 7 + pair % 50 as position"), "pair", 2.0).select("pair", "shift", "votes")
 
 
 NEAREST = "p as (select p_partkey % 10 as page, p_partkey as id, cast(p_partkey * 37 % 400 as double) as x, cast(p_partkey * 91 % 300 as double) as y, p_partkey // 10 % 2 as side from part), j as (select a.id, b.id as target_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as distance from p a join p b on a.page = b.page and a.side = 0 and b.side = 1), best as (select id, min(struct_pack(distance, target_id)) as b from j where distance <= 25 group by 1)"
@@ -489,7 +496,10 @@ def display_boxes(spark, d):
 # queues --------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""with recursive h as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts) as k from events),
+  f as (select event_id, user_id, k, t as started, 1 as n from h where k = 1
+    union all select h.event_id, h.user_id, h.k, case when h.t >= f.started + 3600000000 then h.t else f.started end, case when h.t >= f.started + 3600000000 then 1 else f.n + 1 end from f join h on h.user_id = f.user_id and h.k = f.k + 1)
+  select event_id, n <= 3 as allowed from f""")
 def rate_limit(spark, d):
     hits = table(spark, d, "events").select("event_id", "user_id", "ts")
     return jobs.limited_batch(hits, "user_id", "ts", 3600, 3).select("event_id", "allowed")
