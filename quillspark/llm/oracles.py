@@ -75,4 +75,23 @@ with docs as (select doc_id, coalesce(text, '') as text, {_SPACE} as words, list
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
   failed & 3 <> 0 as base_failed, failed & 63 = 0 as kept, cast(failed as bigint) as failed from f"""
 
-ORACLES = {"op1_licenses": OP1, "op3_ngram_jaccard": OP3, "op4_html_text": OP4, "op8_decontamination": OP8, "op9_quality": OP9}
+OP11 = rf"""
+with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row_no,
+    list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x00-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as words from documents),
+  words as (select lang, source, row_no, {_LOWER.format('unnest(words)')} as term from docs),
+  kept as (select lang, term, count(*) as lang_n from words group by all having count(distinct row_no) >= 10),
+  langs as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by 1),
+  groups as (select distinct lang, source from docs),
+  counts as (select lang, source, term, count(*) as n from words group by all),
+  dense as (select lang, source, term, coalesce(n, 0) as n, lang_n from groups join kept using (lang) left join counts using (lang, source, term)),
+  sums as (select lang, source, sum(n) as total from dense group by all),
+  shares as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (total + 2 * v) as p, 1 + (1000000000::hugeint * (lang_n + 2)) // (lang_total + 2 * v) as q
+    from dense join sums using (lang, source) join langs using (lang)),
+  apart as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+  pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source),
+  terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // (p + q) as value from shares where n > 0 and p > q),
+  ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10"""
+
+ORACLES = {"op1_licenses": OP1, "op3_ngram_jaccard": OP3, "op4_html_text": OP4, "op8_decontamination": OP8, "op9_quality": OP9, "op11_divergence": OP11}
