@@ -65,7 +65,7 @@ def test_hot_source_and_ties(spark):
 
 def test_large_counts_are_exact(spark):
     """Shares of counts whose products leave 64 bits."""
-    rows = [(n, d) for n in (0, 1, 9_223_372_037, 10**15, 2**62) for d in (1, 7, 2**62 + 5) if n + 2 <= d or n < 10**10]
+    rows = [(n, d) for n in (0, 1, 9_223_372_037, 10**15, 2**62) for d in (7, 10**16, 2**62 + 5) if n + 2 <= d]
     df = spark.createDataFrame(rows, "n long, d long")
     for r in df.select("n", "d", divergence.share(df.n, df.d).alias("p")).collect():
         assert r["p"] == 1 + 10**9 * (r["n"] + 2) // r["d"]
