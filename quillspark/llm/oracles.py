@@ -94,4 +94,16 @@ with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
   ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10"""
 
-ORACLES = {"op1_licenses": OP1, "op3_ngram_jaccard": OP3, "op4_html_text": OP4, "op8_decontamination": OP8, "op9_quality": OP9, "op11_divergence": OP11}
+OP13 = f"""
+with docs as (select doc_id, row_number() over () as row_no, {_lower(_ALNUM)} as words from documents),
+  items as (select item_id, row_number() over () as item_no, {_lower(_ALNUM)} as words from benchmark),
+  stats as (select count(*) as n, sum(len(words)) as l from docs where len(words) > 0),
+  postings as (select row_no, doc_id, term, count(*) as tf, any_value(size) as size from (select row_no, doc_id, len(words) as size, unnest(words) as term from docs) group by row_no, doc_id, term),
+  weights as (select term, cast(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) as bigint) as w from postings, stats group by term, n),
+  wanted as (select item_no, item_id, term, count(*) as times from (select item_no, item_id, unnest(words) as term from items) group by all),
+  scores as (select item_no, item_id, row_no, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l)))) as bigint) as score
+    from wanted join weights using (term) join postings using (term), stats group by item_no, item_id, row_no, doc_id),
+  ranked as (select *, row_number() over (partition by item_no order by score desc, doc_id) as rank from scores where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10"""
+
+ORACLES = {"op1_licenses": OP1, "op3_ngram_jaccard": OP3, "op4_html_text": OP4, "op8_decontamination": OP8, "op9_quality": OP9, "op11_divergence": OP11, "op13_ranked_search": OP13}
