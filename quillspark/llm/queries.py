@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, divergence, html_text, jaccard, language_id, licenses, packing, pii, quality, ranked_search, token_files, tokens, toxicity
+from . import common, decontamination, divergence, html_text, jaccard, language_id, licenses, near_vectors, packing, pii, quality, ranked_search, token_files, tokens, toxicity
 from .oracles import ORACLES  # noqa: F401  (for the entry points)
 
 
@@ -68,9 +68,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.table(spark, sf_dir, "documents"))
 
 
+def op12_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.components(common.table(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ranked_search.build(common.table(spark, sf_dir, "documents"))
     return ranked_search.search(index, common.table(spark, sf_dir, "benchmark"), "item_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op3_ngram_jaccard, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing, op11_divergence, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op3_ngram_jaccard, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing, op11_divergence, op12_flat_graph, op13_ranked_search)}
