@@ -6,32 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import keyword
+from .keyword import ARM, STOP_WORDS, top  # noqa: F401  (stop words: for users of this module)
 
-#: Rows that a query arm gives and that fusion keeps.
-ARM, FUSED = 40, 18
+#: Rows that fusion keeps.
+FUSED = 18
 RRF_CONSTANT = 60
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 4096
-# English stop words of the keyword arm.
-STOP_WORDS = tuple(
-    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
-)
-
-
-def lexemes(c: Column) -> Column:
-    """Lower-case words of letters and digits without stop words, each once."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
-
-
-def top(hits: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
-    """The best k rows of each query with rank from 1: score falling, then key."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(key))
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def identifier_index(chunks: DataFrame, key: str = "chunk_id", body: str = "text") -> DataFrame:
@@ -46,14 +32,8 @@ def by_identifier(index: DataFrame, queries: DataFrame, k: int = ARM) -> DataFra
 
 
 def by_keyword(chunks: DataFrame, queries: DataFrame, k: int = ARM) -> DataFrame:
-    """query_id, chunk_id, score, rank: any lexeme of the query is enough; the score is IDF-weighted."""
-    asked = queries.select("query_id", F.explode(lexemes(F.col("question"))).alias("lexeme"))
-    wanted = asked.select("lexeme").distinct()
-    # only lexemes that are asked for leave the chunks
-    postings = chunks.select("chunk_id", F.explode(lexemes(F.col("text"))).alias("lexeme")).join(wanted, "lexeme", "left_semi")
-    frequency = postings.groupBy("lexeme").agg(F.count("*").alias("df"))
-    hits = postings.join(asked, "lexeme").join(frequency, "lexeme").groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / F.col("df")), 9).alias("score"))
-    return top(hits, "query_id", "score", "chunk_id", k)
+    """query_id, chunk_id, score, rank of chunks that aren't indexed yet."""
+    return keyword.search(keyword.index(chunks), queries, k)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:

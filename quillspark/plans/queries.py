@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import checks, chunking, evaluation, geometry, ledger, merge, numbering, portions, retrieval
 from ..sources.tables import table
 from ..streaming import jobs
-from . import views
+from . import stem_sql, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,11 +183,12 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 ASKED = f"""{IDENTIFIERS}, questions as (select chunk_id as query_id, concat('where is ', substr(text, 5, 5), ' with the ', split_part(text, ' FOR ', 2)) as question from chunks where chunk_id % 50 = 0),
   asked as (select distinct query_id, unnest(list_transform(regexp_extract_all(upper(question), '\\b([A-Z]{{1,3}}[-.]?[0-9]{{1,4}})\\b', 1), lambda x: replace(x, '-', ''))) as identifier from questions),
   by_identifier as (select * from (select *, row_number() over (partition by query_id order by hits desc, chunk_id) as rank from (select query_id, chunk_id, count(*) as hits from index_ join asked using (identifier) group by 1, 2)) where rank <= 40)"""
-_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
-KEYWORDS = f"""postings as (select chunk_id, lexeme from (select distinct chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as lexeme from chunks) where lexeme not in ({_STOP})),
-  words as (select query_id, lexeme from (select distinct query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as lexeme from questions) where lexeme not in ({_STOP})),
-  frequency as (select lexeme, count(*) as df from postings group by 1),
-  by_keyword as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select query_id, chunk_id, round(sum(1 / df), 9) as score from postings join words using (lexeme) join frequency using (lexeme) group by 1, 2)) where rank <= 40)"""
+KEYWORDS = f"""spoken as (select chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from chunks),
+  wanted as (select query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as word from questions),
+  {stem_sql.stems("select word from spoken union select word from wanted")},
+  postings as (select chunk_id, stem, count(*) as times from spoken join stems using (word) group by 1, 2),
+  words as (select *, count(*) over (partition by query_id) as size from (select distinct query_id, stem from wanted join stems using (word))),
+  {stem_sql.RANKED}"""
 
 
 @query(f"with {IDENTIFIERS} select chunk_id, identifier from index_")
