@@ -1,4 +1,4 @@
-"""Replies of models read back: whatever isn't as asked for is left out, nothing is guessed. And what calls will cost."""
+"""Batches' replies read back: whatever isn't as asked for is left out, nothing is guessed. And what calls will cost."""
 
 from __future__ import annotations
 
@@ -9,22 +9,11 @@ from .domain import DISCIPLINES, discipline_of
 
 # Choices, lengths and shares of the reply formats.
 LEAST_CONFIDENT = 0.5
-PRIORITIES, CONFIDENCES = ("low", "normal", "high", "critical"), ("low", "medium", "high")
 IMAGE, SYSTEM, WORDS, LOOK, CLOSER = 1600, 1800, 500, 700, 600
 CLOSE_SHARES = {"low": 0.05, "high": 0.35}
 REVIEW_SYSTEM, CHUNK_OVERHEAD, DISCOVERY, PER_CHECK, REASONING, VERIFICATION = 2500, 40, 4000, 250, 2000, 2000
 
 SHEETS = "array<struct<index:string,sheet_number:string,prefix:string,confidence:double>>"
-DECISIONS = "struct<decisions:array<struct<index:bigint,decision:string,reason:string,question:string,basis:string,priority:string,confidence:string>>>"
-
-
-def _cut(c: Column, most: int) -> Column:
-    return F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, most)
-
-
-def _choice(c: Column, choices: tuple[str, ...], otherwise: Column | str) -> Column:
-    low = F.lower(F.trim(c))
-    return F.when(low.isin(*choices), low).otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
 
 def sheet_answers(raw: Column, count: Column) -> Column:
@@ -50,25 +39,6 @@ def sheet_answers(raw: Column, count: Column) -> Column:
     return F.transform(first, read)
 
 
-def decisions(raw: Column, count: Column) -> Column:
-    """array<struct<index, decision, reason, question, priority, confidence>> of the first JSON object in a reply.
-
-    Indexes outside the batch go, and so do all answers of one that was answered twice. Without a verdict, a written
-    question without a basis for rejection means keep. Null where there is no object.
-    """
-    items = F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), DECISIONS)["decisions"]
-    inside = F.filter(items, lambda x: (x["index"] >= 0) & (x["index"] < count))
-    once = F.filter(inside, lambda x: F.size(F.filter(inside["index"], lambda i: i == x["index"])) == 1)
-    implied = lambda x: F.when((_cut(x["question"], 700) != "") & (_cut(x["basis"], 90) == ""), F.lit("keep")).otherwise(F.lit("reject"))
-    return F.transform(
-        once,
-        lambda x: F.struct(
-            x["index"].alias("index"), _choice(x["decision"], ("keep", "reject"), implied(x)).alias("decision"), _cut(x["reason"], 300).alias("reason"), _cut(x["question"], 700).alias("question"),
-            _choice(x["priority"], PRIORITIES, "normal").alias("priority"), _choice(x["confidence"], CONFIDENCES, "medium").alias("confidence"),
-        ),
-    )
-
-
 def look_estimate(tiles: Column, extra: Column) -> Column:
     """Calls and tokens of looking at pairs of tiles, and of the closer looks that a share of them leads to."""
     n = tiles.cast("bigint")

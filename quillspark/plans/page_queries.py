@@ -11,12 +11,12 @@ from .queries import query
 
 
 def _pages(spark, d):
-    """Documents as pages: lines as blocks in three columns, and order lines as tables of a tenth of the pages."""
+    """Documents as pages: lines as blocks in three columns, and order lines as tables."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
     place = ("at % 3 * 320D as x0", "at div 3 * 40D as y0", "at % 3 * 320D + 250 as x1", "at div 3 * 40D + 20 + at % 2 * 15 as y1", "1000D as width", "1400D as height")
     blocks = lines.selectExpr("page", "cast(at as bigint) as block_id", *place, "text")
     cells = F.sort_array(F.collect_list(F.struct("l_linenumber", F.expr("array(concat('P', l_partkey), cast(l_quantity as string))").alias("r"))))
-    listed = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("page")).agg(cells.alias("xs"))
+    listed = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(cells.alias("xs"))
     tables = listed.select("page", F.lit(1).cast("bigint").alias("table_id"), *[F.lit(float(v)).alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 260), ("y1", 50))], F.transform("xs", lambda x: x["r"]).alias("rows"))
     return blocks, tables
 
@@ -26,24 +26,12 @@ def page_chunks(spark, d):
     return pages.page_chunks(*_pages(spark, d))
 
 
-@query("""with t as (select l_orderkey as page, list('| P' || l_partkey || ' | ' || l_quantity || ' |' order by l_linenumber, 'P' || l_partkey, cast(l_quantity as varchar)) as xs from lineitem where l_orderkey % 10 = 0 group by 1 having count(*) > 1)
+@query("""with t as (select l_orderkey as page, list('| P' || l_partkey || ' | ' || l_quantity || ' |' order by l_linenumber, 'P' || l_partkey, cast(l_quantity as varchar)) as xs from lineitem group by 1 having count(*) > 1)
   select page, 0 as piece, array_to_string(list_concat([xs[1], '| --- | --- |'], xs[2:]), '\n') as text from t""")
 def page_tables(spark, d):
     return pages.table_chunks(_pages(spark, d)[1]).select("page", "piece", "text")
 
 
-@query("""with i as (select event_id, event_id % 4 as index, 'keep' as decision, 'high' as priority from events
-    union all select event_id, 1, case when event_id % 3 = 0 then 'reject' else 'keep' end, 'normal' from events union all select event_id, event_id % 2, 'reject', 'normal' from events where event_id % 5 > 0)
-  select event_id, index, decision, priority from i where index < 3 qualify count(*) over (partition by event_id, index) = 1""")
-def review_decisions(spark, d):
-    first = "concat('{\"index\": ', event_id % 4, ', \"decision\": \"KEEP\", \"priority\": \"High\"}')"
-    second = "concat('{\"index\": 1, \"question\": \" Which? \", \"basis\": \"', if(event_id % 3 = 0, 'printed', ''), '\"}')"
-    third = "concat('{\"index\": ', if(event_id % 5 = 0, concat('\"', event_id % 2, '\"'), cast(event_id % 2 as string)), ', \"decision\": \"maybe\", \"priority\": 7}')"
-    raw = F.expr(f"concat('Here it is: {{\"decisions\": [', {first}, ', ', {second}, ', ', {third}, ']}} as asked')")
-    answers = table(spark, d, "events").select("event_id", F.explode(replies.decisions(raw, F.lit(3))).alias("x"))
-    return answers.select("event_id", "x.index", "x.decision", "x.priority")
-
-
 @query("""with a as (select p_partkey, p_partkey % 4 as position, 'S-' || p_size as sheet, 'structural' as discipline from part where p_partkey % 4 < 3
     union all select p_partkey, 1, null, null from part where p_partkey % 4 <> 1)
   select p_partkey, cast(position as int) as position, case when p_size % 2 = 0 then sheet end as sheet, case when p_size % 2 = 0 then discipline end as discipline from a join part using (p_partkey)""")
