@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The forms of a sheet number, of references to one and of an index heading.
+# The forms of a sheet number, of a callout, of a pointer (any of its words before a sheet makes it a reference) and of an index heading.
 SHEET = r"[A-Z]{1,2}-?\d{1,4}(?:\.\d{1,3}){0,2}(?:-?[A-Z]{1,3}(?![A-Z]))?(?:-[A-Z]{1,3}(?![A-Z]))*"
 CALLOUT = rf"(?<![A-Z0-9/.])(?:\d{{1,2}}|[A-Z]\d?)\s*/\s*({SHEET})(?![A-Z0-9/])"
 POINTER = rf"(?<!COVER\s)(?<!TITLE\s)(?<!KEY\s)\b(?:SEE|REFER\s+TO|REF\.?|REFERENCE|ON|SHEET|SHT\.?|DWG\.?|DRAWING)\s+(?:(?:SHEET|SHT\.?|DWG\.?|DRAWING)\s+)?(?:(?:DETAIL|DET\.?|SECTION|SECT\.?)\s+[A-Z0-9]{{1,3}}\s+(?:ON\s+)?(?:SHEET\s+)?)?({SHEET})(?![A-Z0-9])"

@@ -497,13 +497,13 @@ def display_boxes(spark, d):
 # queues --------------------------------------------------------------------------------------------------------------
 
 
-@query("""with recursive h as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts) as k from events),
+@query("""with recursive h as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
   f as (select event_id, user_id, k, t as started, 1 as n from h where k = 1
     union all select h.event_id, h.user_id, h.k, case when h.t >= f.started + 3600000000 then h.t else f.started end, case when h.t >= f.started + 3600000000 then 1 else f.n + 1 end from f join h on h.user_id = f.user_id and h.k = f.k + 1)
   select event_id, n <= 3 as allowed from f""")
 def rate_limit(spark, d):
     hits = table(spark, d, "events").select("event_id", "user_id", "ts")
-    return jobs.limited_batch(hits, "user_id", "ts", 3600, 3).select("event_id", "allowed")
+    return jobs.limited_batch(hits, "user_id", "ts", 3600, 3, "event_id").select("event_id", "allowed")
 
 
 @query("select event_id, event_type in ('click', 'view') and epoch(timestamp '2024-01-02' ) - epoch(ts) <= 3600 as alive from events")

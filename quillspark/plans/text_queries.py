@@ -160,12 +160,13 @@ def grounded_wordings(spark, d):
     return table(spark, d, "part").select("p_partkey", domain.grounded(wording, evidence).alias("is_grounded"))
 
 
-@query("with t as (select distinct p_name from part), c as (select distinct p_name from part where p_partkey % 5 = 0) select 'cached' as state, count(*) as n from t where p_name in (select p_name from c) union all select 'missing', count(*) from t where p_name not in (select p_name from c)")
+@query("with t as (select distinct text from documents where text is not null), c as (select distinct text from documents where doc_id % 5 = 0) select 'cached' as state, count(*) as n from t where text in (select text from c where text is not null) union all select 'missing', count(*) from t where text not in (select text from c where text is not null)")
 def cached_vectors(spark, d):
-    parts = table(spark, d, "part").select(F.col("p_name").alias("text"), "p_partkey")
-    cache = parts.filter("p_partkey % 5 = 0").select(text.text_hash(F.col("text")).alias("text_hash")).distinct().withColumn("vector", F.array(F.lit(1.0)))
-    known, missing = retrieval.cached_or_missing(parts.select("text"), cache)
-    return known.select(F.lit("cached").alias("state")).unionByName(missing.select(F.lit("missing").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").filter("text is not null")
+    cache = docs.filter("doc_id % 5 = 0").select(text.text_hash(F.col("text")).alias("text_hash")).distinct().withColumn("vector", F.array(F.lit(1.0)))
+    known, missing = retrieval.cached_or_missing(docs.select("text"), cache)
+    count = lambda rows, state: rows.agg(F.count("*").alias("n")).select(F.lit(state).alias("state"), "n")
+    return count(known, "cached").unionByName(count(missing, "missing"))
 
 
 @query("select p_partkey, coalesce(nullif(p_brand, 'Brand#13'), case when p_partkey % 3 = 0 then p_type end) as title, case when p_partkey % 3 = 0 and p_size % 2 = 0 then p_size + 1 else p_size end as level from part")

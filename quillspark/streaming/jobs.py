@@ -32,9 +32,11 @@ def _limit(times: list[pd.Timestamp], started: float | None, count: int, seconds
     return allowed, started, count
 
 
-def limited_batch(hits: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:
+def limited_batch(hits: DataFrame, key: str, time: str, seconds: int, most: int, *ties: str) -> DataFrame:
     """hits with allowed: a fixed window per key that starts at its first hit; a limit of 0 allows all.
 
+    Hits of one time are counted in the order of the columns `ties`.
+
     Runs along sorted partitions batch by batch and keeps one window's start and count.
     """
 
@@ -49,15 +51,15 @@ def limited_batch(hits: DataFrame, key: str, time: str, seconds: int, most: int)
                 allowed += got
             yield pdf.assign(allowed=allowed)
 
-    return hits.repartition(key).sortWithinPartitions(key, time).mapInPandas(work, hits.withColumn("allowed", F.lit(True)).schema)
+    return hits.repartition(key).sortWithinPartitions(key, time, *ties).mapInPandas(work, hits.withColumn("allowed", F.lit(True)).schema)
 
 
-def limited_stream(hits: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:
+def limited_stream(hits: DataFrame, key: str, time: str, seconds: int, most: int, *ties: str) -> DataFrame:
     """As limited_batch over a stream; the state of a key is its window's start and count."""
 
     def work(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, count = state.get if state.exists else (None, 0)
-        pdf = pd.concat(list(batches)).sort_values([time], kind="stable")
+        pdf = pd.concat(list(batches)).sort_values([time, *ties], kind="stable")
         allowed, started, count = _limit(list(pdf[time]), started, count, seconds, most)
         state.update((started, count))
         yield pdf.assign(allowed=allowed)
