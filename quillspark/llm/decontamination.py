@@ -8,18 +8,24 @@ searched in the shard's suffix array, all at once and word by word: two bisectio
 range, so that its longest verbatim match and all places of its window are
 known. Words inside a place of a window are hit.
 
-The benchmark is broadcast in blocks of at most BLOCK_WORDS words; further
-blocks take further passes over the rows, which carry what was found so far.
+The benchmark is read and broadcast in blocks of at most BLOCK_WORDS words; longer
+items are cut at overlapping windows. Each further block takes a further pass over
+the rows, which carry what was found so far and are stored in between: driver and
+tasks hold one block at a time, however large the benchmark is.
 
 Cases: null texts have no words. Items without words are ignored; an item with
 fewer words than the window is one window. Rows with equal item_id count as one
-item. Rows with equal doc_id are each judged alone. An empty benchmark hits
-nothing.
+item; the windows of one with a null item_id hit, but there is no id to count or
+name. Rows with equal doc_id are each judged alone. An empty benchmark hits
+nothing; an empty table gives no rows. Very long texts are judged whole, in a shard
+of their own. Columns of docs with the names in FOUND are replaced by find() and
+come back untouched from clean(); others stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -41,7 +47,7 @@ FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_ran
 class TestSuffixes:
     """The suffixes of some benchmark items, as numbers of their own vocabulary (from 1)."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
         text, starts, lengths, owners = [], [], [], []
@@ -171,24 +177,30 @@ def judge(texts: list[str | None], test: TestSuffixes) -> tuple[list[int], list[
             d = int(np.searchsorted(begins, part[0], side="right") - 1)
             hits[d] = part - begins[d]
         for d, k in found:
-            items[d].append(test.ids[k])
+            if test.ids[k] is not None:
+                items[d].append(test.ids[k])
         long = np.flatnonzero(best)
         for d, n in zip((np.searchsorted(begins, place[long], side="right") - 1).tolist(), best[long].tolist(), strict=True):
             longest[d] = max(longest[d], n)
     return sizes.tolist(), hits, items, longest
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list[TestSuffixes]:
-    """Reads the benchmark, a bounded test set, and cuts it into blocks."""
-    out, held, size = [], [], 0
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[TestSuffixes]:
+    """The benchmark in blocks: each is made when it is asked for. At least one, be it empty."""
+    held: list[tuple[str | None, list[bytes]]] = []
+    size = made = 0
     for row in common.only(benchmark, "item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        if words := common.alnum_words(row["text"]):
-            held.append((str(row["item_id"]), words))
-            size += len(words)
-        if size >= block_words:
-            out.append(TestSuffixes(held, window))
-            held, size = [], 0
-    return [*out, TestSuffixes(held, window)] if held or not out else out
+        words, name = common.alnum_words(row["text"]), None if row["item_id"] is None else str(row["item_id"])
+        step = max(1, block_words - window + 1)
+        for at in range(0, max(1, len(words) - window + 1) if words else 0, step):
+            piece = words[at : at + step + window - 1]
+            if held and size + len(piece) > block_words:
+                yield TestSuffixes(held, window)
+                held, size, made = [], 0, made + 1
+            held.append((name, piece))
+            size += len(piece)
+    if held or not made:
+        yield TestSuffixes(held, window)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -198,7 +210,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     docs = docs.drop(*FOUND)
     more = [("n_words", pa.int64()), ("hit_ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest_match", pa.int64())]
     out = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_ranges": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>"), "longest_match": F.lit(None).cast("bigint")})
+    test = None
     for block in _blocks(benchmark, window, block_words):
+        if test is not None:
+            out = common.stored(out, "judged-documents")
+            test.unpersist()
         test = spark.sparkContext.broadcast(block)
 
         def work(batch: pa.RecordBatch, test=test) -> pa.RecordBatch:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import TEMPLATES
+from .quality import POLICIES, RULES
 
 _ALNUM = r"list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SPACE = r"list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -75,6 +76,13 @@ with docs as (select doc_id, coalesce(text, '') as text, {_SPACE} as words, list
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
   failed & 3 <> 0 as base_failed, failed & 63 = 0 as kept, cast(failed as bigint) as failed from f"""
 
+ABLATION = f"""
+with ledger as ({OP9}),
+  policies(version, mask) as (values {", ".join(f"('{v}', {m})" for v, m in POLICIES.items())}),
+  rules(rule, bit) as (values {", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(RULES))})
+select version, rule, count(*) as n_docs, count(*) filter (where failed & mask = 0) as n_kept, count(*) filter (where failed & (mask - bit) = 0) as n_kept_without
+from ledger, policies join rules on mask & bit <> 0 group by version, rule"""
+
 OP11 = rf"""
 with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row_no,
     list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x00-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as words from documents),
@@ -106,4 +114,4 @@ with docs as (select doc_id, row_number() over () as row_no, {_lower(_ALNUM)} as
   ranked as (select *, row_number() over (partition by item_no order by score desc, doc_id) as rank from scores where score > 0)
 select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10"""
 
-ORACLES = {"op1_licenses": OP1, "op3_ngram_jaccard": OP3, "op4_html_text": OP4, "op8_decontamination": OP8, "op9_quality": OP9, "op11_divergence": OP11, "op13_ranked_search": OP13}
+ORACLES = {"op1_licenses": OP1, "op3_ngram_jaccard": OP3, "op4_html_text": OP4, "op8_decontamination": OP8, "op9_quality": OP9, "quality_ablation": ABLATION, "op11_divergence": OP11, "op13_ranked_search": OP13}

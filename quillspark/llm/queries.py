@@ -60,6 +60,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's ledger stored once, and what each rule of each policy version costs."""
+    rows = quality.ledger(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return quality.ablation(common.stored(rows, "quality-ledger"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
 
@@ -77,4 +83,4 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(index, common.table(spark, sf_dir, "benchmark"), "item_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op3_ngram_jaccard, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing, op11_divergence, op12_flat_graph, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_pii, op3_ngram_jaccard, op4_html_text, op5_language_id, op6_toxicity, op7_token_files, op8_decontamination, op9_quality, op10_packing, op11_divergence, op12_flat_graph, op13_ranked_search, quality_ablation)}

@@ -25,6 +25,7 @@ shards, one row each.
 Cases: a null text is empty and has the end id alone. Rows with equal doc_id
 follow one another, ordered by their text's hash and text. An empty table gives
 an empty file. Null doc_ids come first and stay null. A text larger than a segment makes a larger segment.
+Columns besides doc_id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

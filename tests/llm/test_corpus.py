@@ -760,7 +760,7 @@ def test_ablation(documents):
 def test_empty_tables(spark, tmp_path, name):
     import corpus_pipeline
 
-    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    kinds = {"embeddings": "vec_id long, embedding array<float>, label int", "documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
     for t, schema in kinds.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     assert (queries.QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, str(tmp_path)).count() == 0
