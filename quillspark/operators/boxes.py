@@ -32,7 +32,7 @@ def _per_page(boxes: DataFrame, page: str, key: str | None, work: Callable[[np.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [work(np.asarray(flat, np.float64).reshape(-1, 4)) for flat in pdf["flat"]]
+            found = [work(np.array(flat, np.float64).reshape(-1, 4)) for flat in pdf["flat"]]
             sizes = [len(n) for _, n in found]
             if sizes:
                 out = pd.DataFrame(np.concatenate([r for r, _ in found]), columns=list(EDGES))
