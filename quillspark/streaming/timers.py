@@ -99,11 +99,11 @@ class _Progress(_Timed):
 class _Start(_Timed):
     state = "planned boolean, price double, budget double, scanning boolean, decided boolean"
 
-    def __init__(self, time: str):
-        self.time = time
+    def __init__(self, time: str, ties: tuple[str, ...]):
+        self.time, self.ties = time, ties
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _in_order(rows, self.time)
+        pdf = _in_order(rows, self.time, *self.ties)
         planned, price, budget, scanning, decided, ends = self.held() or (False, None, None, False, False, 0)
         out = []
         for at, kind, cost, most in zip(_milliseconds(pdf[self.time]), pdf["kind"], pdf["price"], pdf["budget"], strict=True):
@@ -139,11 +139,12 @@ def progress_writes(steps: DataFrame, time: str, delay: str, between: float = BE
     return _run(steps, "scan_id", time, delay, _Progress(between, time), steps.schema)
 
 
-def starts(events: DataFrame, time: str, delay: str) -> DataFrame:
+def starts(events: DataFrame, time: str, delay: str, *ties: str) -> DataFrame:
     """scan_id, decision, decided_at: whether a plan starts by itself, decided once.
 
     events: scan_id, kind (planned, scan_started, scan_completed, started), price, budget, time. A plan waits while its
     code scan runs; it starts if its price is within the budget, and is left to a person above it or without a price.
-    A plan without a budget is never decided here, nor is one that a person started.
+    A plan without a budget is never decided here, nor is one that a person started. Events of one time are taken in the
+    order of the columns `ties`.
     """
-    return _run(events, "scan_id", time, delay, _Start(time), "scan_id string, decision string, decided_at timestamp")
+    return _run(events, "scan_id", time, delay, _Start(time, ties), "scan_id string, decision string, decided_at timestamp")
