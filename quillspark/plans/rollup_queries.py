@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import rollups
-from ..sources.tables import table
+from ..operators import rollups, tiers
+from ..sources.tables import shared_path, table
 from .queries import query
 
 NOW = "timestamp '2024-02-01 00:00:00'"
@@ -225,3 +225,26 @@ def plan_prices(spark, d):
     ceiling = rules.budget_tokens(F.col("budget"), F.col("input"), F.col("output"), F.col("rate_in"), F.col("rate_out"))
     decision = rules.start_decision(F.col("tiles"), F.col("has_key"), high, F.col("budget") / 20)
     return plans.select("l_orderkey", "l_linenumber", "l_partkey", F.round(low, 8).alias("low"), F.round(high, 8).alias("high"), ceiling.alias("ceiling"), decision.alias("decision"))
+
+
+TIERED = """base as (select case when conv_id % 3 = 0 then 0 else conv_id % 7 + 1 end as project, role as portion, conv_id * 100 + turn as page, trim(substr(text, 1, 60)) as overview, substr(text, 1, 12) as item from conversations),
+  portions as (select project, portion, min(page) as start_page, max(page) as end_page, left(trim(string_agg(overview, ' ' order by page) filter (where overview <> '')), 1500) as overview, array_to_string((list(item order by page))[1:8], '|') as items from base group by 1, 2)"""
+
+
+def _tiered(spark, d):
+    """Turns as pages of three projects' portions by role; a third of all turns are in one project."""
+    turns = table(spark, d, "conversations").select(
+        F.expr("if(conv_id % 3 = 0, 0L, conv_id % 7 + 1)").alias("project"), F.col("role").alias("portion"), F.expr("conv_id * 100 + turn").alias("page"), F.expr("trim(substr(text, 1, 60))").alias("overview"),
+        F.expr("array(struct(substr(text, 1, 12) as text, array(cast(conv_id as string)) as chunk_ids, cast(conv_id * 100 + turn as bigint) as page))").alias("items"),
+    )
+    return tiers.rolled_up(turns, shared_path(spark, "tiers"))
+
+
+@query(f"with {TIERED} select project, portion, start_page, end_page, overview, items from portions")
+def tiered_portions(spark, d):
+    return _tiered(spark, d)[0].withColumn("items", F.array_join(F.transform("items", lambda i: i["text"]), "|"))
+
+
+@query(f"with {TIERED} select project, min(start_page) as start_page, max(end_page) as end_page, left(trim(string_agg(overview, ' ' order by portion) filter (where overview <> '')), 1500) as overview from portions group by 1")
+def tiered_projects(spark, d):
+    return _tiered(spark, d)[1].drop("items")
