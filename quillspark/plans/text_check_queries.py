@@ -45,3 +45,25 @@ def dangling_in_text(spark, d):
     notes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), said.alias("text"))
     issued = table(spark, d, "supplier").filter("s_suppkey % 3 > 0").select(F.expr("concat('S-', s_suppkey % 400 + 500)").alias("sheet"))
     return text_checks.dangling_references(notes, issued).select("sheet", "n_pages", "first_page")
+
+
+@query("""select p_partkey, case p_size % 4 when 0 then upper(p_type) || ' CAP SCHEDULE' when 1 then 'PILE CAP SCHEDULE|STUD ' || upper(p_type) || ' SCHEDULE' else '' end as titles, p_size % 4 = 1 or (p_size % 4 = 0 and p_type like 'P%') as of_pile_caps from part""")
+def titles_of_schedules(spark, d):
+    """Titles in running text; pointers at schedules are none."""
+    said = F.expr("""case p_size % 4 when 0 then concat('note 1.\n', p_type, '  cap schedule: rows') when 1 then concat('pile cap schedule\n(stud ', p_type, ' schedule)') when 2 then concat('for ', p_type, ' schedule, ', p_name) else concat(p_type, ' schedule - refer to S-', p_size) end""")
+    found = table(spark, d, "part").select("p_partkey", contexts.schedule_titles(said).alias("titles"))
+    return found.select("p_partkey", F.array_join("titles", "|").alias("titles"), F.exists("titles", lambda t: contexts.names_family(t, F.lit("PC"))).alias("of_pile_caps"))
+
+
+@query("""select p_partkey, case p_size % 3 when 0 then 'D' || p_size when 1 then 'E' || p_size else '' end as details, case p_size % 3 when 0 then '' when 1 then 'A' || 30 + p_size else 'A' || 300 + p_size || ',A36' end as catalogue from part""")
+def numbers_of_others(spark, d):
+    """Detail numbers beside a sheet's, and numbers of makers and grades: none of them a mark."""
+    said = F.expr("case p_size % 3 when 0 then concat('see d', p_size, '/A3.11 ', p_name) when 1 then concat('a2.87 e', p_size, ' and simpson a', 30 + p_size, ', ', p_name) else concat('from either A', 300 + p_size, ' or a36 steel, D', p_size) end")
+    found = table(spark, d, "part").select("p_partkey", contexts.detail_numbers(said).alias("a"), contexts.catalogue_numbers(said).alias("b"))
+    return found.select("p_partkey", F.array_join("a", ",").alias("details"), F.array_join("b", ",").alias("catalogue"))
+
+
+@query("select p_partkey, unnest(case when p_size % 2 = 0 then [round(72.0::double / (1 + p_size), 4), 108.0::double] else [18.0::double] end) as points_a_foot from part")
+def printed_scales(spark, d):
+    said = F.expr("""if(p_size % 2 = 0, concat('SCALE: 1/', 1 + p_size, '" = 1\\'-0"\nDETAIL 1 1/2" = 1\\'-0" ', p_name), concat('2026.02.', p_size, ' 1/4'' = 1 foot, PLAN 1/4″ = 1′-0″'))""")
+    return table(spark, d, "part").select("p_partkey", F.explode(contexts.scales_in(said)).alias("points_a_foot"))

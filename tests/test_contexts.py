@@ -87,3 +87,58 @@ def test_marks_and_references_from_text(spark):
     issued = spark.createDataFrame([("S-501",), ("S-502",)], "sheet string")
     found = text_checks.dangling_references(chunks(spark, (1, "SEE S-503 AND 4/S-501, DESIGN NO. U300, ON S-777 SERIES"), (2, "see sheet s-503")), issued)
     assert [(r["sheet"], r["n_pages"]) for r in found.collect()] == [("S503", 2)]
+
+
+def more_texts():
+    rng = random.Random(12)
+    words = ["PILE CAP", "SCHEDULE", "SCHEDULES", "SEE", "REFER TO", "FOR", "COLUMN", "STUD RAIL", "DECON STUDRAIL", "DOOR", "AND", "D6/A3.11", "A2.87 D6", "D6 A2.91", "E1", "SIMPSON A34", "HILTI NO. X12", "A307 OR A36 STEEL", "ASTM A615, A706", "B12 GRADE", "K9", "1/4\" = 1'-0\"", "1 1/2” = 1’-0”", "3\"=1'0\"", "27 1/4\" = 1'-0\"", "0/0\" = 1'-0\"", "5\" = 1'-0\"", "12/3/4\" = 1'-0\"", "3/32 '' = 1' - 0''", "\n", ",", "."]
+    return [None, "", "SCHEDULE"] + [rng.choice([" ", " ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+
+
+def plain_titles(t):
+    upper, out = (t or "").upper(), []
+    for m in re.finditer(contexts.SCHEDULE_TITLE, upper):
+        words = m[0].split()
+        if not any(w.strip(".,:") in contexts.TITLE_POINTERS for w in words[:-1]) and not re.match(contexts.SEE_AFTER, upper[m.end() : m.end() + 60]):
+            out.append(" ".join(words))
+    return out
+
+
+def plain_scales(t):
+    out = set()
+    for m in re.finditer(contexts.SCALE, t or ""):
+        total = 0.0
+        for part in m[1].split():
+            a, _, b = part.partition("/")
+            if "/" in b or b and not int(b):
+                total = float("nan")
+            else:
+                total += int(a) / int(b) if b else int(a)
+        if 1 / 64 <= total <= 3:
+            out.add(round(total * 72, 4))
+    return sorted(out)
+
+
+def plain_catalogue(t):
+    upper = (t or "").upper()
+    return {re.sub("[^A-Z0-9]", "", m[0]) for m in re.finditer(contexts.CATALOGUE_TOKEN, upper) if re.search(contexts.MAKER_BEFORE, upper[max(0, m.start() - 30) : m.start()]) or re.match(contexts.GRADE_AFTER, upper[m.end() : m.end() + 40])}
+
+
+def test_titles_details_catalogue_and_scales(spark):
+    rows = list(enumerate(more_texts()))
+    c = F.col("t")
+    found = spark.createDataFrame(rows, "k int, t string").select("k", contexts.schedule_titles(c).alias("titles"), contexts.detail_numbers(c).alias("details"), contexts.catalogue_numbers(c).alias("catalogue"), contexts.scales_in(c).alias("scales"))
+    got = {r["k"]: r for r in found.collect()}
+    some = [0] * 4
+    for k, t in rows:
+        details = {m[1] or m[2] for m in re.finditer(contexts.DETAIL_ID, (t or "").upper())}
+        want = (plain_titles(t), details, plain_catalogue(t), plain_scales(t))
+        assert (got[k]["titles"], set(got[k]["details"]), set(got[k]["catalogue"]), got[k]["scales"]) == want, t
+        some = [a + bool(b) for a, b in zip(some, want, strict=True)]
+    assert min(some) > 20
+
+
+def test_titles_name_families(spark):
+    cases = [("PILE CAP SCHEDULE", "PC", True), ("DECON STUDRAIL SCHEDULE", "SR", True), ("STUD RAIL SCHEDULE", "SR", True), ("LEVEL SCHEDULE", "SR", False), ("CONCRETE COLUMN SCHEDULE", "C", True), ("CMU SCHEDULE", "C", False), ("CLASS B TENSION SPLICE SCHEDULE", "C", False), ("DOOR SCHEDULE", "D", True), ("SCHEDULE", "D", False), ("SHEAR AND WALL SCHEDULE", "SW", True), ("", "A", False)]
+    df = spark.createDataFrame(cases, "title string, family string, want boolean")
+    assert df.filter(contexts.names_family(F.col("title"), F.col("family")) != F.col("want")).collect() == []
