@@ -1,17 +1,20 @@
 """Main text of web pages as a maximum-scoring subsequence of their tokens.
 
-A page is a sequence of words and tags. A word scores 1, a tag costs its weight:
-labelled pages, those of a bounded sample that mark their article, tell how much
-more often each tag stands outside the article than in it (a tag that they lack
-costs the least). Tokens of boilerplate elements (navigation, adverts, notices,
-forms, comments) score 0 and are left out, so that none in the middle of a text
-cuts it in two. One linear scan finds the contiguous run of tokens with the
-largest sum; its blocks, less any boilerplate within, are the text.
-
-Where a page marks its text with article or main elements, each stretch of them
-is scanned alone and all the runs count. There the weights are scaled so that
-the tags of a stretch cost less than one word together: a mark says more than
-any tag, and no words in it are lost.
+A page is a sequence of words and tags. A tag costs its weight: labelled pages,
+those of a bounded sample that mark their article, tell how much more often each
+tag stands outside the article than in it (a tag that they lack costs the least).
+A word scores 1 or a little below 0, by the weight of its region: the element with
+a boilerplate name or kind that it is in (navigation, adverts, notices, forms,
+comments), or else whether the page's mark (article, main) holds it. Regions get
+their weights from the same labelled pages, as the odds of their words to be in the
+article; only regions that these pages lack go by the lists below. One linear scan
+finds the contiguous run of tokens with the largest sum. What stands at the run's
+ends is text; words of negative regions between its positive ones are left out,
+and cost so little that none of them cuts a text in two.
+
+Where a page marks its text, words outside of the mark are a region as others are,
+and the tags cost less than one word together: a mark says more than any tag, and
+no words in it are lost.
 
 A form or an element with a boilerplate name may wrap the whole page. An article
 or main element in it that isn't boilerplate itself ends that mark, unless it is
@@ -72,6 +75,10 @@ PLACE_NAMES = frozenset(
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset(("article", "main"))
+#: Regions besides those of elements: in a page's mark, outside of it, of a page without one, and of a teaser.
+MARKED, UNMARKED, PLAIN, TEASING = "marked", "unmarked", "plain", "teaser"
+#: What stands before a region's name among the weights.
+REGION = "@"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -112,41 +119,43 @@ def _is_boilerplate_name(name: str) -> bool:
     return not DROPPED_NAMES.isdisjoint(words) and all(w in DROPPED_NAMES or w in PLACE_NAMES for w in words)
 
 
-def _dropped(name: str, raw: str, in_main: bool) -> str:
-    """Whether an element holds boilerplate: "hard" for good, "soft" if it may be a wrapper of an article, "" if not."""
+def _dropped(name: str, raw: str, in_main: bool) -> tuple[str, str]:
+    """Whether an element holds boilerplate: "hard" for good, "soft" if it may be a wrapper of an article, "" if not; and its region."""
     if name in DROPPED and name != "form" or name == "header" and not in_main:
-        return "hard"
-    kind = "soft" if name == "form" else ""
+        return "hard", name
+    kind, region = ("soft", name) if name == "form" else ("", "")
     if not raw or name in MAIN and "comment" not in raw.lower() or name in ("html", "body"):
-        return kind
+        return kind, region
     for m in _ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            kind = "soft" if any(map(_is_boilerplate_name, value.split())) else kind
+            named = next(filter(_is_boilerplate_name, value.split()), None)
+            if named is not None:
+                kind, region = "soft", f".{named.lower()}"
             continue
         value = value.lower()
         if key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return "hard"
+            return "hard", f"[{key}={value}]"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return "hard"
-    return kind
+            return "hard", "[hidden=]"
+    return kind, region
 
 
 class Walk:
-    """The tokens of a page with what stands around them: (kind, text or tag, dropped, in main, block number)."""
+    """The tokens of a page with what stands around them: (kind, text or tag, dropped, in main, block number, region)."""
 
     def __init__(self, page: str):
-        self.items: list[tuple[str, str, bool, bool, int]] = []
+        self.items: list[tuple[str, str, bool, bool, int, str]] = []
         self.marked = False
         wrapped: list[int] = []  # per item the number of the article that ends a wrapper's mark, or 0
         words, plain, clean, articles = Counter(), 0, 0, 0
-        stack: list[tuple[str, str, bool, int]] = []
+        stack: list[tuple[str, str, bool, int, str]] = []
         open_ = Counter()  # of each tag in the stack
         block = 0
 
-        def add(kind: str, value: str, dropped: str, in_main: bool, article: int) -> None:
+        def add(kind: str, value: str, dropped: str, in_main: bool, article: int, region: str) -> None:
             nonlocal plain, clean
-            self.items.append((kind, value, bool(dropped), in_main, block))
+            self.items.append((kind, value, bool(dropped), in_main, block, region))
             wrapped.append(article)
             if kind == "text" and not dropped:
                 n = len(value.split())
@@ -155,41 +164,47 @@ class Walk:
                 clean += n if in_main and not article else 0
 
         for kind, value, raw in tokens(page):
-            dropped, in_main, article = stack[-1][1:] if stack else ("", False, 0)
+            dropped, in_main, article, region = stack[-1][1:] if stack else ("", False, 0, "")
             if kind == "text":
-                add("text", value, dropped, in_main, article)
+                add("text", value, dropped, in_main, article, region)
                 continue
             if value in BLOCK:
                 block += 1
             if kind == "open":
-                own = _dropped(value, raw, in_main)
+                own, named = _dropped(value, raw, in_main)
                 inner, main, within = "hard" if "hard" in (dropped, own) else dropped or own, in_main, article
+                named = named or region
                 if value in MAIN and not own and dropped == "soft":
                     articles += 1
-                    inner, main, within = "", True, articles
+                    inner, main, within, named = "", True, articles, ""
                 elif value in MAIN and not inner:
                     main = True
                 self.marked |= main and not within
-                add("tag", value, inner, main, within)
+                add("tag", value, inner, main, within, named)
                 if value not in VOID and not raw.rstrip().endswith("/"):
-                    stack.append((value, inner, main, within))
+                    stack.append((value, inner, main, within, named))
                     open_[value] += 1
             else:
-                add("tag", value, dropped, in_main, article)
+                add("tag", value, dropped, in_main, article, region)
                 while open_[value]:
                     closed = stack.pop()[0]
                     open_[closed] -= 1
                     if closed == value:
                         break
             if value == "br":
-                add("text", " ", dropped, in_main, article)
+                add("text", " ", dropped, in_main, article, region)
         if articles:
             longest = max(clean if self.marked else plain, *words.values(), 0)
             kept = {a for a, n in words.items() if a and n and TEASER * n >= longest}
             main = self.marked or sum(words[a] for a in kept) > plain
-            self.items = [(k, v, d or a > 0 and a not in kept, m and (not a or main and a in kept), b) for (k, v, d, m, b), a in zip(self.items, wrapped, strict=True)]
+            self.items = [(k, v, d or a > 0 and a not in kept, m and (not a or main and a in kept), b, r or TEASING * (a > 0 and a not in kept)) for (k, v, d, m, b, r), a in zip(self.items, wrapped, strict=True)]
             self.marked |= main and bool(kept)
 
+    def region(self, item: tuple) -> str:
+        """The region that a token is in: an element with a boilerplate name or kind, or by the page's mark."""
+        _, _, dropped, in_main, _, region = item
+        return region if dropped else (MARKED if in_main else UNMARKED) if self.marked else PLAIN
+
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Cost of each tag from its numbers inside and outside of marked articles."""
@@ -210,33 +225,49 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best_range
 
 
-def _scores(items: list[tuple[str, str, bool, bool, int]], weights: dict[str, float], scale: float) -> list[float]:
-    return [0.0 if dropped else float(len(value.split())) if kind == "text" else -scale * weights.get(value, LEAST) for kind, value, dropped, _, _ in items]
+def weigh_regions(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Weight of each region from the words of it inside and outside of marked articles."""
+    return {REGION + region: max(-MOST, min(MOST, math.log((a + 0.5) / (b + 0.5)))) for region, (a, b) in counts.items()}
+
+
+def _is_text(walk: Walk, item: tuple, weights: dict[str, float]) -> bool:
+    """Whether a token's region holds text: by its learned weight, or else by its name."""
+    region = walk.region(item)
+    return weights.get(REGION + region, -1.0 if item[2] or region == UNMARKED else 1.0) > 0
+
+
+def _scores(items: list[tuple], text: list[bool], weights: dict[str, float], marked: bool) -> list[float]:
+    """Words of text count 1; all others together, and in a marked page the tags of text too, less than one word."""
+    words = [len(item[1].split()) if item[0] == "text" else 0 for item in items]
+    costs = [weights.get(item[1], LEAST) if item[0] == "tag" and t else 0.0 for item, t in zip(items, text, strict=True)]
+    little = 0.5 / (1 + sum(n for n, t in zip(words, text, strict=True) if not t))
+    scale = 0.5 / (1 + sum(costs)) if marked else 1.0
+    return [float(n) if t else -little * n for n, t in zip(words, text, strict=True)] if not any(costs) else [(n if t else -little * n) - scale * c for n, t, c in zip(words, text, costs, strict=True)]
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     walk = Walk(page)
-    chosen: list[tuple[str, str, bool, bool, int]] = []
-    if walk.marked:
-        for main, stretch in groupby(walk.items, key=lambda item: item[3]):
-            if main:
-                items = list(stretch)
-                cost = sum(weights.get(value, LEAST) for kind, value, dropped, _, _ in items if kind == "tag" and not dropped)
-                chosen += items[slice(*best_run(_scores(items, weights, 1 / (1 + cost))))]
-    else:
-        chosen = walk.items[slice(*best_run(_scores(walk.items, weights, 1.0)))]
+    text = [_is_text(walk, item, weights) for item in walk.items]
+    begin, end = best_run(_scores(walk.items, text, weights, walk.marked))
+    run = [i for i in range(begin, end) if walk.items[i][0] == "text"]
+    # between words of text others are left out; what the run begins and ends with is its own
+    sure = [i for i in run if text[i]]
+    first, last = (sure[0], sure[-1]) if sure else (end, end)
     blocks: dict[int, list[str]] = {}
-    for kind, value, dropped, _, block in chosen:
-        if kind == "text" and not dropped:
-            blocks.setdefault(block, []).append(value)
+    for i in run:
+        if text[i] or not first < i < last:
+            blocks.setdefault(walk.items[i][4], []).append(walk.items[i][1])
     texts = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 
 def train(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> dict[str, float]:
-    """Tag weights from the labelled pages of a bounded sample: those that mark an article."""
+    """Weights of tags and regions from the labelled pages of a bounded sample: those that mark an article.
+
+    Of what stands in an article under a boilerplate name nothing is known: it doesn't count.
+    """
     pages = common.only(pages, "page_id", "html").filter("html is not null")
     chosen = common.sample_below(pages, "page_id", max_pages, pages.select("page_id").count()).select("html")
 
@@ -246,12 +277,17 @@ def train(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> dict[str, float]:
             for page in batch.column(0).to_pylist():
                 walk = Walk(page)
                 if walk.marked:
-                    sums.update((v, m) for k, v, d, m, _ in walk.items if k == "tag" and not d and (v in BLOCK or v in INLINE))
+                    sums.update((v, m) for k, v, d, m, _, _ in walk.items if k == "tag" and not d and (v in BLOCK or v in INLINE))
+                    for item in walk.items:
+                        if item[0] == "text" and not (item[2] and item[3]) and (n := len(item[1].split())):
+                            sums[REGION + walk.region(item), item[3]] += n
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums]), pa.array([m for _, m in sums]), pa.array(list(sums.values()), pa.int64())], names=["tag", "inside", "n"])
 
     rows = chosen.mapInArrow(count, "tag string, inside boolean, n bigint").groupBy("tag").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b")).collect()
-    return weigh({r["tag"]: (r["a"], r["b"]) for r in rows})
+    counts = {r["tag"]: (r["a"], r["b"]) for r in rows}
+    tags = weigh({t: n for t, n in counts.items() if not t.startswith(REGION)})
+    return tags | weigh_regions({t.removeprefix(REGION): n for t, n in counts.items() if t.startswith(REGION)})
 
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
