@@ -54,7 +54,9 @@ FRAGMENT_GRAMS = 2_000_000
 FRAGMENTS = 64
 #: Bits that are kept of a hash besides those that name its fragment.
 LOW_BITS = 40
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
+#: Characters of texts that are cut into n-grams at a time.
+PART_CHARS = 2_000_000
 #: Rows that a sample for common hashes has at most, and how often in them a hash must stand to count as common.
 SAMPLE_DOCS, COMMON_SHARE, COMMON_LEAST = 20_000, 4e-4, 8
 #: Common hashes that are dealt by class at most (8 bytes each are broadcast); the most frequent ones.
@@ -101,7 +103,7 @@ def _fragment_rows(bits: int, n: int, common_ids: np.ndarray, salts: int, batche
     shift = np.uint64(64 - bits - LOW_BITS)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in common.parts([len(t or "") for t in texts], 4_000_000):
+        for a, b in common.parts([len(t or "") for t in texts], PART_CHARS):
             sets = [gram_set(t, n) for t in texts[a:b]]
             sizes = np.array([len(s) for s in sets], np.int64)
             classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
@@ -139,6 +141,7 @@ def _fragment_rows(bits: int, n: int, common_ids: np.ndarray, salts: int, batche
                     )
                 )
             yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(blobs, pa.binary())], names=["fragment", "packed"])
+    _words.clear()  # the worker goes on to other stages
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -198,7 +201,7 @@ def _common_ids(docs: DataFrame, n: int, total: int, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in common.parts([len(t or "") for t in texts], 4_000_000):
+            for a, b in common.parts([len(t or "") for t in texts], PART_CHARS):
                 grams, times = np.unique(np.concatenate([gram_set(t, n) for t in texts[a:b]]) >> shift, return_counts=True)
                 several = times > 1
                 yield pa.RecordBatch.from_arrays([pa.array(grams[several].astype(np.int64)), pa.array(times[several])], names=["g", "times"])
@@ -260,7 +263,8 @@ class Dealt:
             hot = many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > self.most)
             self.hot = {r[key]: -(-r["_rows"] // self.most) for r in hot.collect()}
         if self.hot:
-            self.table = many.sparkSession.createDataFrame(list(self.hot.items()), f"{key} {many.schema[key].dataType.simpleString()}, _parts bigint")
+            # an Arrow table: a list would be read by Python workers of their own, which stay
+            self.table = many.sparkSession.createDataFrame(pa.table({key: list(self.hot), "_parts": pa.array(self.hot.values(), pa.int64())}))
 
     def many(self, df: DataFrame) -> DataFrame:
         """Rows with a part each, by a hash of all their columns."""
