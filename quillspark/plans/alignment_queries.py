@@ -54,3 +54,15 @@ def plan_differences(spark, d):
     pairs, elements = _plans(spark, d)
     found = alignment.plan_differences(alignment.align_plans(pairs, elements), elements, pairs, 54.0)
     return found.select("pair", "kind", "a", "b", F.round("offset", 6).alias("distance"))
+
+
+@query("""select l_orderkey as pair, k::varchar as first, (k + 1)::varchar as second, case when k = 2 then 9.0::double else -9.0::double end as diff from (select l_orderkey from lineitem where l_orderkey % 3 = 0 group by 1 having count(*) >= 6), (values (2), (3)) as v(k)""")
+def bay_differences(spark, d):
+    """Each order's grid on two sheets at half the scale; every third one's third line stands a foot further."""
+    lines = _numbered(spark, d)
+    label, at = F.col("k").cast("string"), F.col("k") * 540.0
+    grid = lambda position: F.sort_array(F.collect_list(F.struct(position.alias("position"), label.alias("label"))))
+    moved = F.when((F.col("k") == 3) & (F.col("l_orderkey") % 3 == 0), 9.0).otherwise(0.0)
+    both = lines.groupBy("l_orderkey").agg(grid(at).alias("a"), grid(at / 2 + 31.5 + moved).alias("b"))
+    found = both.select(F.col("l_orderkey").alias("pair"), F.explode(alignment.bay_differences(F.col("a"), F.col("b"), F.lit(0.5), F.lit(31.5), F.lit(9.0))).alias("x"))
+    return found.select("pair", "x.first", "x.second", F.round("x.diff", 6).alias("diff"))

@@ -182,3 +182,50 @@ def test_differences(spark):
     got = {(r["kind"], r["a"], r["b"], r["offset"] and round(r["offset"], 3)) for r in alignment.plan_differences(aligned, elements, pairs, 36.0).collect()}
     assert got == {("size", 4, 14, None), ("moved", 5, 15, 12.0), ("only_a", 6, None, None), ("only_b", None, 17, None)}
     assert aligned.select(F.size("inliers")).first()[0] == 4
+
+
+def plain_bays(a, b, scale, offset, feet):
+    pa, pb = {n: p for p, n in a}, {n: p for p, n in b}
+    names = sorted((n for n in pa if n in pb and "." not in n), key=pa.get)
+    if len(names) < 3:
+        return None
+    order = sorted(names, key=pb.get)
+    if order not in (names, names[::-1]) or (1 if order == names else -1) * scale < 0:
+        return None
+    near, most = max(1.5, feet / 4), 10 * feet
+    off = {n: pb[n] - (scale * pa[n] + offset) for n in names}
+    if any(abs(o) > most for o in off.values()) or not any(abs(o) <= near for o in off.values()):
+        return None
+    for n, o in off.items():
+        if abs(o) > near and (any(m != n and abs(v - (scale * pa[n] + offset)) <= near for m, v in pb.items()) or any(m != n and abs(v - (pb[n] - offset) / scale) <= near / abs(scale) for m, v in pa.items())):
+            return None
+    bays = [(m, n, abs(scale * (pa[n] - pa[m])), abs(pb[n] - pb[m])) for m, n in zip(names, names[1:], strict=False)]
+    differing = [(*x, x[3] - x[2]) for x in bays if abs(x[3] - x[2]) > near]
+    agree = len(bays) - len(differing)
+    if differing and (len(differing) > 2 or agree < 2 or agree <= len(differing) or any(abs(x[4]) > most for x in differing)):
+        return None
+    return differing
+
+
+def test_bays(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(400):
+        n, scale, feet = rng.randint(2, 9), rng.choice([1.0, 1.0, 0.5, -1.0]), 9.0
+        a, at = [], 0.0
+        for j in range(n):
+            at += rng.choice([120.0, 200.0, 270.0])
+            a.append((at, f"{j + 1}" if rng.random() < 0.9 else f"{j}.5"))
+        a = list({x[1]: x for x in a}.values())
+        moved = rng.randrange(len(a)) if rng.random() < 0.6 else -1
+        b = [(scale * p + 40 + rng.uniform(-1, 1) + (rng.choice([6.0, 20.0, 95.0, -30.0]) if j == moved else 0), x) for j, (p, x) in enumerate(a) if rng.random() < 0.95]
+        if rng.random() < 0.1 and len(b) > 2:
+            b[0], b[1] = (b[0][0], b[1][1]), (b[1][0], b[0][1])
+        rows.append((k, a, b, scale, 40.0, feet))
+    c = F.col
+    got = {r["k"]: r["d"] for r in spark.createDataFrame(rows, f"k int, a {LINES}, b {LINES}, scale double, offset double, feet double").select("k", alignment.bay_differences(c("a"), c("b"), c("scale"), c("offset"), c("feet")).alias("d")).collect()}
+    want = {k: plain_bays(*rest) for k, *rest in rows}
+    for k, x in want.items():
+        have = got[k] and [(*tuple(r)[:2], *(pytest.approx(v) for v in tuple(r)[2:])) for r in got[k]]
+        assert (got[k] is None) == (x is None) and (not x or x == have), rows[k]
+    assert sum(x is None for x in want.values()) > 50 and sum(x == [] for x in want.values()) > 50 and sum(bool(x) for x in want.values()) > 30
