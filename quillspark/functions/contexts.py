@@ -25,8 +25,11 @@ BESIDE = 60
 UNICODE = "(?U)"
 
 
-def occurrences(upper: Column, pattern: str) -> Column:
-    """array<struct<token, start, end, before, after>> of a pattern's matches, places from 0; in one pass over the text."""
+def occurrences(upper: Column, pattern: str, context: bool = True) -> Column:
+    """array<struct<token, start, end, before, after>> of a pattern's matches, places from 0; in one pass over the text.
+
+    Without context, before and after are left out.
+    """
 
     def placed(parts: Column, tokens: Column) -> Column:
         # between the matches stand the parts: their lengths add up to the places
@@ -41,6 +44,8 @@ def occurrences(upper: Column, pattern: str) -> Column:
         return F.aggregate(steps, first, step, lambda s: s["out"])
 
     found = let(F.split(upper, UNICODE + pattern, -1), lambda parts: let(F.regexp_extract_all(upper, F.lit(UNICODE + pattern), 0), lambda tokens: placed(parts, tokens)))
+    if not context:
+        return found
     beside = lambda o: o.withField("before", F.substr(upper, F.greatest(o["start"] - BESIDE, F.lit(0)) + 1, F.least(o["start"], F.lit(BESIDE)))).withField("after", F.substr(upper, o["end"] + 1, F.lit(BESIDE)))
     return F.transform(found, beside)
 
@@ -69,7 +74,7 @@ def rated_tags(c: Column) -> Column:
 
     def of(o: Column, following: Column) -> Column:
         window = F.substr(upper, o["end"] + 1, F.greatest(F.lit(0), F.least(F.lit(RATING_WINDOW), F.coalesce(following["start"], F.length(upper)) - o["end"])))
-        return let(occurrences(window, RATING), lambda found: let(F.transform(found, lambda r: r.withField("unit", F.regexp_replace(F.regexp_extract(r["token"], RATING, 2), "^TON$", "TONS"))), lambda found: rated(o, found)))
+        return let(occurrences(window, RATING, False), lambda found: let(F.transform(found, lambda r: r.withField("unit", F.regexp_replace(F.regexp_extract(r["token"], RATING, 2), "^TON$", "TONS"))), lambda found: rated(o, found)))
 
     def rated(o: Column, found: Column) -> Column:
         once = F.filter(found, lambda r: F.size(F.filter(found, lambda x: x["unit"] == r["unit"])) == 1)
@@ -78,7 +83,7 @@ def rated_tags(c: Column) -> Column:
         row = lambda r: F.struct(o["token"].alias("tag"), r["unit"].alias("unit"), rating_value(F.regexp_extract(r["token"], RATING, 1)).alias("value"), words(r).alias("qualifiers"))
         return F.filter(F.transform(once, row), lambda x: x["value"].isNotNull())
 
-    return let(occurrences(upper, TAG), lambda tags: F.flatten(F.transform(tags, lambda o, i: of(o, F.get(tags, i + 1)))))
+    return let(occurrences(upper, TAG, False), lambda tags: F.flatten(F.transform(tags, lambda o, i: of(o, F.get(tags, i + 1)))))
 
 
 # A schedule's title, the words that make it a pointer to one, those that name no element, and what follows a pointer.
