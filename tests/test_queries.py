@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from quillspark.plans import alignment_queries, box_queries, domain_queries, drawing_queries, history_queries, page_queries, pairing_queries, queries, reply_queries, review_queries, rollup_queries, search_queries, text_check_queries, text_queries, timer_queries  # noqa: F401
+from quillspark.plans import alignment_queries, box_queries, change_queries, domain_queries, drawing_queries, history_queries, page_queries, pairing_queries, queries, reply_queries, review_queries, rollup_queries, search_queries, text_check_queries, text_queries, timer_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
