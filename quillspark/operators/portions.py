@@ -51,7 +51,8 @@ def merged_summaries(lower: DataFrame, keys: list[str], most_chars: int = 1500,
     lower: keys, at (order), overview, items array<string>. Null overviews and items count as none. One portion may
     hold a third of all rows: rows that start beyond both bounds are dropped, first within what the portion has in one
     input partition (what comes before a row there does so in the portion too), then within the portion. What is
-    collected is at most most_chars + most_items + 1 rows, each cut to what the result can hold.
+    collected is at most most_chars + most_items + 2 rows, each cut to what the result can hold. An overview that
+    starts right behind the last character still gives the blank before it.
     """
     rows = lower.select(*keys, "at", "overview", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.spark_partition_id().alias("_part"))
 
@@ -60,11 +61,11 @@ def merged_summaries(lower: DataFrame, keys: list[str], most_chars: int = 1500,
         w = Window.partitionBy(*group).orderBy("at", "overview", "items")
         before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         rows = rows.withColumns({"_chars": before(F.length("overview") + 1), "_n": before(F.size("items")), "_first": F.row_number().over(w) == 1})
-        told = F.col("overview").isNotNull() & (F.col("_chars") < most_chars)
+        told = F.col("overview").isNotNull() & (F.col("_chars") <= most_chars)
         return rows.filter(F.col("_first") | told | (F.size("items") > 0) & (F.col("_n") < most_items))
 
     near = placed(placed(rows, *keys, "_part").drop("_chars", "_n", "_first"), *keys)
-    overview = F.when(F.col("_chars") < most_chars, F.substring("overview", 1, most_chars))
+    overview = F.when(F.col("_chars") <= most_chars, F.substring("overview", 1, most_chars))
     items = F.when(F.col("_n") < most_items, F.slice("items", 1, most_items)).otherwise(F.array().cast("array<string>"))
     # each row but one without overview and items adds to one of the two sums, so they give the order
     joined = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chars", "_n", overview.alias("overview"), items.alias("items")))).alias("rows"))
