@@ -8,7 +8,7 @@ on from there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import numbering
@@ -35,14 +35,27 @@ def resolved(summaries: DataFrame, chunk_pages: DataFrame, key: str) -> DataFram
     return summaries.drop("items").join(kept, key, "left").withColumn("items", F.coalesce("items", F.array().cast(ITEM)))
 
 
+def cut(joined: Column) -> Column:
+    """What a node keeps of a joined text: CHARACTERS of it and one more, a dot if anything but blanks follows them.
+
+    So the blanks at the end of the whole text are told from blanks at the cut, however many tiers are above.
+    """
+    return F.when(F.length(F.rtrim(joined)) > CHARACTERS, F.concat(F.left(joined, F.lit(CHARACTERS)), F.lit("."))).otherwise(F.left(joined, F.lit(CHARACTERS + 1)))
+
+
+def finished(nodes: DataFrame) -> DataFrame:
+    """Root nodes with the overview that they tell: without the blanks at its end, then CHARACTERS of it."""
+    return nodes.withColumn("overview", F.left(F.rtrim("overview"), F.lit(CHARACTERS))).drop("at")
+
+
 def folded(nodes: DataFrame, *keys: str) -> DataFrame:
-    """One node for each combination of keys (with `at` among them): overviews in order up to CHARACTERS, items up to ITEMS.
+    """One node for each combination of keys (with `at` among them): overviews in order, `cut` at CHARACTERS, items up to ITEMS.
 
     nodes: keys, below (order), start_page, end_page, overview, items. A node without either isn't written.
     """
     listed = nodes.groupBy(*keys).agg(F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"), F.sort_array(F.collect_list(F.struct("below", "overview", "items"))).alias("xs"))
     told = F.filter(F.transform("xs", lambda x: x["overview"]), lambda o: F.coalesce(o, F.lit("")) != "")
-    overview = F.left(F.trim(F.array_join(told, " ")), F.lit(CHARACTERS))
+    overview = cut(F.array_join(told, " "))
     items = F.slice(F.flatten(F.transform("xs", lambda x: F.coalesce(x["items"], F.array().cast(ITEM)))), 1, ITEMS)
     return listed.select(*keys, "start_page", "end_page", overview.alias("overview"), items.alias("items")).filter((F.col("overview") != "") | (F.size("items") > 0))
 
@@ -77,11 +90,11 @@ def rolled_up(pages: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """
     name = F.to_json(F.struct("project", "portion"))
     numbered = numbering.running(pages.withColumn("portion_key", name), "portion_key", F.floor(F.col("page") / COARSE), ["page", "overview"])
-    base = numbered.select("project", "portion", F.col("before").cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("below"), F.col("page").alias("start_page"), F.col("page").alias("end_page"), "overview", "items")
-    portions = _tree(folded(base, "project", "portion", "at"), ["project", "portion"], root, "portion")
+    base = numbered.select("project", "portion", F.col("before").cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("below"), F.col("page").alias("start_page"), F.col("page").alias("end_page"), F.trim("overview").alias("overview"), "items")
+    portions = finished(_tree(folded(base, "project", "portion", "at"), ["project", "portion"], root, "portion"))
 
     named = portions.withColumn("_name", F.coalesce(F.col("portion").cast("string"), F.lit("")))
     placed = numbering.running(named, "project", F.left("_name", F.lit(2)), ["_name"])
     nodes = placed.select("project", F.col("before").cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("below"), "start_page", "end_page", "overview", "items")
-    projects = _tree(folded(nodes, "project", "at"), ["project"], root, "project")
-    return portions.drop("at"), projects.drop("at")
+    projects = finished(_tree(folded(nodes, "project", "at"), ["project"], root, "project"))
+    return portions, projects
