@@ -27,14 +27,16 @@ def small_batches(spark: SparkSession) -> None:
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Bounds the rows of each Arrow batch of what runs inside, and puts the session's own bound back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Bounds the rows of each Arrow batch, and of each batch read from Parquet, of what runs inside, and puts the session's own bounds back afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(min(rows, int(before[names[1]])) if name == names[1] else rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -62,14 +64,17 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, row_group: int | None = None) -> DataFrame:
     """Writes df once to shared storage and reads it back, which cuts the lineage there.
 
     Later uses read the files again, so neither a lost executor nor a second
     use computes df anew. A path given replaces what it held, for tables of rounds.
+    row_group: bytes that a task holds before it writes them, for rows of some MB
+    each, of which Parquet would otherwise hold a hundred before it looks.
     """
     path = path or shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    sizes = {} if row_group is None else {"parquet.block.size": row_group, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    df.write.mode("overwrite").options(**sizes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

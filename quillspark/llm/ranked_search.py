@@ -51,6 +51,8 @@ SEGMENT_DOCS, SEGMENT_POSTINGS = 4096, 400_000
 BLOCK_TERMS = 50_000
 #: Segments in an Arrow batch: each is some MB.
 SEGMENT_BATCH = 4
+#: Bytes of segments that a task holds while it writes them.
+ROW_GROUP = 16 << 20
 #: Keys over which a query's rows of all tasks are dealt before the last choice.
 PARTS = 64
 
@@ -137,11 +139,11 @@ def build(docs: DataFrame, segment_docs: int = SEGMENT_DOCS, segment_postings: i
     """Indexes all terms of all documents (doc_id, text)."""
     exact = common.only(docs, "doc_id", "text").mapInArrow(lambda batches: _invert(segment_docs, segment_postings, batches), _EXACT_SQL)
     with common.batches_of(docs.sparkSession, common.BATCH_ROWS):
-        exact = common.stored(exact, "search-postings")
+        exact = common.stored(exact, "search-postings", row_group=ROW_GROUP)
     n_docs, n_terms = (x or 0 for x in exact.agg(F.sum("n_docs"), F.sum("n_terms")).first())
     with common.batches_of(docs.sparkSession, SEGMENT_BATCH):
         levels = exact.mapInArrow(common.per_batch(lambda batch: _quantise(n_docs, n_terms, batch)), f"{_EXACT_SQL}, steps array<int>, levels binary")
-        return Index(common.stored(levels, "search-index"), n_docs, n_terms)
+        return Index(common.stored(levels, "search-index", row_group=ROW_GROUP), n_docs, n_terms)
 
 
 def weight(n_docs: int, df: int) -> int:
