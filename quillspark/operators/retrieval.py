@@ -27,8 +27,9 @@ def identifier_index(chunks: DataFrame, key: str = "chunk_id", body: str = "text
 
 def by_identifier(index: DataFrame, queries: DataFrame, k: int = ARM) -> DataFrame:
     """query_id, chunk_id, hits, rank: chunks by the number of the query's identifiers they carry."""
-    asked = queries.select("query_id", F.explode(text.identifiers(F.upper("question"))).alias("identifier"))
-    return top(index.join(asked, "identifier").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits")), "query_id", "hits", "chunk_id", k)
+    asked = queries.select("query_id", F.explode(text.identifiers(F.upper("question"))).alias("stem"), F.lit(1).alias("size"))
+    held = index.select("chunk_id", F.col("identifier").alias("stem"), F.lit(1).alias("times"))
+    return keyword.best(held, asked, F.count("*"), k).withColumnRenamed("score", "hits")
 
 
 def by_keyword(chunks: DataFrame, queries: DataFrame, k: int = ARM) -> DataFrame:
