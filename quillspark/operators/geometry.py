@@ -33,16 +33,18 @@ def vote_shift(a: DataFrame, b: DataFrame, pair: str, tolerance: float, least: i
 def nearest(points: DataFrame, targets: DataFrame, page: str, reach: float) -> DataFrame:
     """points (page, point_id, x, y) with the nearest target within reach, or null: a range join over grid cells.
 
-    A target is dealt to the nine cells around it, so that each point meets only targets of its own cell.
+    A target is dealt to the nine cells around it, so that each point meets only targets of its own cell. Points of one
+    place share their answer, and of targets of one place only the smallest id can be one: places meet, not rows.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
-    p = points.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    p = points.select(page, "x", "y").distinct().withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    t = targets.select(page, "target_id", F.col("x").alias("tx"), F.col("y").alias("ty"), around.alias("o")).withColumn("cx", F.floor(F.col("tx") / reach) + F.col("o.i")).withColumn("cy", F.floor(F.col("ty") / reach) + F.col("o.j"))
+    places = targets.groupBy(page, F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("target_id").alias("target_id"))
+    t = places.select(page, "target_id", "tx", "ty", around.alias("o")).withColumn("cx", F.floor(F.col("tx") / reach) + F.col("o.i")).withColumn("cy", F.floor(F.col("ty") / reach) + F.col("o.j"))
     distance = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
     hits = p.join(t, [page, "cx", "cy"]).withColumn("distance", distance).filter(F.col("distance") <= reach)
-    best = hits.groupBy(page, "point_id").agg(F.min(F.struct("distance", "target_id")).alias("b"))
-    return points.join(best, [page, "point_id"], "left").select(*points.columns, F.col("b.target_id").alias("target_id"), F.round("b.distance", 6).alias("distance"))
+    best = hits.groupBy(page, "x", "y").agg(F.min(F.struct("distance", "target_id")).alias("b"))
+    return points.join(best, [page, "x", "y"], "left").select(*points.columns, F.col("b.target_id").alias("target_id"), F.round("b.distance", 6).alias("distance"))
 
 
 def unmatched(points: DataFrame, targets: DataFrame, page: str, reach: float) -> DataFrame:

@@ -76,10 +76,16 @@ def under_headings(headings: DataFrame, chunks: DataFrame, gap: float) -> DataFr
 
 
 def nearest_below(marks: DataFrame, sizes: DataFrame, gap: float) -> DataFrame:
-    """Each mark with the nearest size line below it within gap that overlaps it in x."""
-    hits = under_headings(marks.select("page", F.col("mark_id").alias("heading_id"), "x0", "x1", "y1"), sizes.select("page", F.col("size_id").alias("chunk_id"), "x0", "x1", "y0"), gap)
-    placed = hits.join(sizes.select("page", F.col("size_id").alias("chunk_id"), "y0"), ["page", "chunk_id"])
-    return placed.groupBy("page", F.col("heading_id").alias("mark_id")).agg(F.min(F.struct("y0", "chunk_id")).alias("s")).select("page", "mark_id", F.col("s.chunk_id").alias("size_id"))
+    """Each mark with the nearest size line below it within gap that overlaps it in x.
+
+    Marks of one place share their answer, and of size lines of one place only the smallest id can be one: places meet.
+    """
+    places = marks.groupBy("page", "x0", "x1", "y1").agg(F.min("mark_id").alias("heading_id"))
+    lines = sizes.groupBy("page", "x0", "x1", "y0").agg(F.min("size_id").alias("chunk_id"))
+    placed = under_headings(places, lines, gap).join(lines.select("page", "chunk_id", "y0"), ["page", "chunk_id"])
+    found = placed.groupBy("page", "heading_id").agg(F.min(F.struct("y0", "chunk_id")).alias("s")).join(places, ["page", "heading_id"])
+    each = marks.select("page", "mark_id", "x0", "x1", "y1").join(found.drop("heading_id"), ["page", "x0", "x1", "y1"])
+    return each.groupBy("page", "mark_id").agg(F.min("s").alias("s")).select("page", "mark_id", F.col("s.chunk_id").alias("size_id"))
 
 
 def best_matches(pages: DataFrame) -> DataFrame:
