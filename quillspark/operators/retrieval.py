@@ -18,6 +18,8 @@ FUSED = 18
 RRF_CONSTANT = 60
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 4096
+#: Scores that a task holds at a time, about.
+CELLS = 1_000_000
 
 
 def identifier_index(chunks: DataFrame, key: str = "chunk_id", body: str = "text") -> DataFrame:
@@ -43,6 +45,33 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm == 0, 1, norm)
 
 
+def best_scores(batches: Iterator[pd.DataFrame], names: np.ndarray, q: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """query_id, chunk_id, score: the k best of a task's points for each query; about CELLS scores are in memory at a time."""
+    step = max(1, CELLS // max(1, len(names)))
+    least = np.full(len(names), -np.inf)  # of each query the k-th best score so far
+    kept = waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def merged(*found: tuple) -> tuple:
+        at, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        least[at[place == k - 1]] = scores[place == k - 1]
+        return tuple(x[place < k] for x in (at, ids, scores))
+
+    for pdf in batches:
+        for start in range(0, len(pdf) if len(names) else 0, step):
+            part = pdf.iloc[start : start + step]
+            found = np.round(q @ unit(np.array(part["vector"].tolist(), np.float64)).T, 6)
+            at, column = np.nonzero(~(found < least[:, None]))
+            waiting = tuple(np.concatenate(x) for x in zip(waiting, (at, part["chunk_id"].to_numpy()[column], found[at, column]), strict=True))
+            if len(waiting[0]) > CELLS // 4:
+                kept, waiting = merged(kept, waiting), tuple(x[:0] for x in waiting)
+    at, ids, scores = merged(kept, waiting)
+    if len(at):
+        yield pd.DataFrame({"query_id": names[at], "chunk_id": ids, "score": scores})
+
+
 def by_vector(points: DataFrame, queries: DataFrame, k: int = ARM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine neighbours.
 
@@ -59,18 +88,7 @@ def by_vector(points: DataFrame, queries: DataFrame, k: int = ARM, block: int =
         asked = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), unit(np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), -1))))
 
         def best(batches: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
-            names, q = asked.value
-            ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
-            for pdf in batches:
-                if not len(names) or not len(pdf):
-                    continue
-                found = np.round(q @ unit(np.array(pdf["vector"].tolist(), np.float64)).T, 6)
-                ids = np.concatenate([ids, np.broadcast_to(pdf["chunk_id"].to_numpy(), found.shape)], axis=1)
-                scores = np.concatenate([scores, found], axis=1)
-                order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-            if ids.size:
-                yield pd.DataFrame({"query_id": np.repeat(names, ids.shape[1]), "chunk_id": ids.ravel(), "score": scores.ravel()})
+            return best_scores(batches, *asked.value, k)
 
         part = points.mapInPandas(best, "query_id bigint, chunk_id bigint, score double")
         out = part if out is None else out.unionByName(part)
