@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs of a heading and a chunk in one band that one task joins, about.
+PAIRS = 1_000_000
+
 
 def level_index(sources: DataFrame) -> DataFrame:
     """Per project and level: the number of different sheets that print it, and the first."""
@@ -67,11 +70,18 @@ def reading_order(blocks: DataFrame, page: str, band: float = 36.0) -> DataFrame
     return blocks.withColumn("place", F.row_number().over(w))
 
 
-def under_headings(headings: DataFrame, chunks: DataFrame, gap: float) -> DataFrame:
+def under_headings(headings: DataFrame, chunks: DataFrame, gap: float, pairs: int = PAIRS) -> DataFrame:
     """Chunks that start within gap below a heading and overlap it in x. Rows meet by page and band of height gap."""
     h = headings.select("page", "heading_id", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y1").alias("hy"), F.explode(F.array(F.floor(F.col("y1") / gap), F.floor(F.col("y1") / gap) + 1)).alias("band"))
     c = chunks.withColumn("band", F.floor(F.col("y0") / gap))
-    hits = h.join(c, ["page", "band"]).filter("y0 >= hy and x0 < hx1 and hx0 < x1").filter(F.col("y0") - F.col("hy") <= gap)
+    # a band's pairs are dealt over tasks: chunks by their hash, headings repeated
+    n = lambda df, name: df.groupBy("page", "band").agg(F.count("*").alias(name))
+    counts = n(h, "n").join(n(c, "m"), ["page", "band"])
+    tasks = (counts.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0) // pairs + headings.sparkSession.sparkContext.defaultParallelism
+    dealt, met = counts.select("page", "band", F.ceil(F.col("n") * F.col("m") / pairs).alias("parts")), ["page", "band", "part"]
+    few = h.join(dealt, ["page", "band"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    many = c.join(dealt, ["page", "band"]).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).drop("parts")
+    hits = few.repartition(tasks, *met).join(many.repartition(tasks, *met), met).filter("y0 >= hy and x0 < hx1 and hx0 < x1").filter(F.col("y0") - F.col("hy") <= gap)
     return hits.select("page", "heading_id", "chunk_id")
 
 

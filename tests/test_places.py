@@ -47,3 +47,11 @@ def test_nearest_below_by_places(spark):
             want[m] = below[0][1]
     assert {r["mark_id"]: r["size_id"] for r in got.collect()} == want
     assert pairs_joined(got) <= 2000
+
+
+def test_hot_band_is_dealt(spark):
+    """All headings and chunks in one band: every pair once, whatever the parts."""
+    headings = spark.createDataFrame([(1, k, 0.0, 9.0, 1.0) for k in range(30)], "page int, heading_id int, x0 double, x1 double, y1 double")
+    chunks = spark.createDataFrame([(1, k, 5.0, 6.0, 2.0 + k % 3) for k in range(50)], "page int, chunk_id int, x0 double, x1 double, y0 double")
+    got = review.under_headings(headings, chunks, 60.0, pairs=100)
+    assert sorted((r["heading_id"], r["chunk_id"]) for r in got.collect()) == [(h, c) for h in range(30) for c in range(50)]
