@@ -1,15 +1,17 @@
 """Cutting texts into chunks: word windows, ordered packing and box clusters.
 
 Windows are built from built-in functions. The greedy folds and the union-find,
-whose next step depends on the one before, run per document or page in pandas.
+whose next step depends on the one before, run along sorted partitions, batch by batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -58,15 +60,13 @@ def clusters(boxes: DataFrame, page: str, least_gap: float = 18.0, share: float
     """boxes (page, box_id, x0, y0, x1, y1, width, height) with cluster: its smallest box_id.
 
     Two boxes join when their gap is at most max(18, 2 % of the page's short side, if known) on both axes. A page of more
-    than PAGE_BOXES boxes is one cluster and needs no comparison; other pages are groups of that size at most, and a
-    sweep over x keeps the comparisons near linear.
+    than PAGE_BOXES boxes is one cluster and needs no comparison, its rows pass by; of other pages one is held at a time,
+    and a sweep over x keeps the comparisons near linear.
     """
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x0", box_id], kind="stable").reset_index(drop=True)
-        short = min(pdf["width"].iloc[0], pdf["height"].iloc[0])
+    def joined(rows: list[tuple], ids: list, short: float) -> list:
         reach = max(least_gap, share * short) if short > 0 else least_gap
-        parent = list(range(len(pdf)))
+        parent, open_ = list(range(len(rows))), []
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -74,18 +74,37 @@ def clusters(boxes: DataFrame, page: str, least_gap: float = 18.0, share: float
                 i = parent[i]
             return i
 
-        rows, open_ = list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), []
         for i, (x0, y0, _, y1) in enumerate(rows):
             open_ = [j for j in open_ if rows[j][2] + reach >= x0]
             for j in open_:
                 if max(0.0, rows[j][1] - y1, y0 - rows[j][3]) <= reach:
                     parent[root(i)] = root(j)
             open_.append(i)
-        roots = pd.Series([root(i) for i in range(len(pdf))])
-        return pdf.assign(cluster=pdf[box_id].groupby(roots).transform("min"))
-
-    schema = boxes.withColumn("cluster", F.col(box_id)).schema
-    counts = boxes.groupBy(page).agg(F.count("*").alias("_boxes"), F.min(box_id).alias("cluster"))
-    full = boxes.join(counts.filter(F.col("_boxes") > PAGE_BOXES).select(page, "cluster"), page)
-    rest = boxes.join(counts.filter(F.col("_boxes") <= PAGE_BOXES).select(page), page, "left_semi")
-    return rest.groupBy(page).applyInPandas(join, schema).unionByName(full)
+        roots, least = [root(i) for i in range(len(rows))], {}
+        for r, name in zip(roots, ids, strict=True):
+            least[r] = min(least.get(r, name), name)
+        return [least[r] for r in roots]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the rows of a page that goes on in the next batch
+        for batch in batches:
+            pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            names, sizes = pdf[page].to_numpy(), pdf["_boxes"].tolist()
+            starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()] if len(pdf) else []
+            if starts and starts[-1] + sizes[-1] > len(pdf) and sizes[-1] <= most:
+                held, pdf = pdf.iloc[starts[-1] :], pdf.iloc[: starts[-1]]
+                starts.pop()
+            else:
+                held = None
+            found, ids = pdf["cluster"].tolist(), pdf[box_id].tolist()
+            rows, width, height = list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), pdf["width"].tolist(), pdf["height"].tolist()
+            for low, high in pairwise([*starts, len(pdf)]):
+                if 1 < sizes[low] <= most:
+                    found[low:high] = joined(rows[low:high], ids[low:high], min(width[low], height[low]))
+            yield pdf.drop(columns="_boxes").assign(cluster=pd.Series(found, index=pdf.index, dtype=pdf["cluster"].dtype))
+
+    # one shuffle: a page's rows lie together, by x, and each knows how many they are
+    w, most = Window.partitionBy(page), PAGE_BOXES
+    counted = boxes.filter(F.col(page).isNotNull()).repartition(page).withColumn("_boxes", F.count("*").over(w)).withColumn("cluster", F.min(box_id).over(w))
+    ordered = counted.sortWithinPartitions(page, F.col("x0").asc_nulls_last(), box_id)
+    return ordered.mapInPandas(run, counted.drop("_boxes").schema)

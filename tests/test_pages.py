@@ -106,3 +106,40 @@ def test_a_crowded_page_is_one_cluster(spark, monkeypatch):
     got = {(r["page"], r["box_id"]): r["cluster"] for r in chunking.clusters(rows, "page").collect()}
     assert {c for (p, _), c in got.items() if p == "full"} == {0}
     assert len({c for (p, _), c in got.items() if p == "few"}) == 4
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_cut_in_their_own_row(spark):
+    """One of many rows too: no shuffle, no row of Python for each line; the sizes that begin a piece are as before."""
+    lines = [[f"B{i}", "w " * (140 if i % 7 else 700)] for i in range(60)]
+    tables = spark.createDataFrame([("p", 1, 0.0, 0.0, 9.0, 9.0, [["MARK", "SIZE"], *lines])], TABLES)
+    made = pages.table_chunks(tables.withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda x: F.left(x, F.lit(290))))))
+    assert "Exchange" not in plan_of(made) and "InPandas" not in plan_of(made)
+    rows, pieces, size = [[c[:290] for c in r] for r in lines], [], 10_000
+    for r in rows:
+        n = tokens(" ".join(c.strip() for c in r))
+        if size + n > 800:
+            pieces, size = [*pieces, []], tokens("| MARK | SIZE |\n| --- | --- |")
+        pieces[-1].append(r)
+        size += n
+    got = {r["piece"]: r["text"].split("\n")[2:] for r in made.collect()}
+    assert got == {k: [f"| {a} | {b.strip()} |" for a, b in p] for k, p in enumerate(pieces)} and len(got) > 5
+
+
+def test_a_page_is_shuffled_twice(spark):
+    """Once for its clusters, once for its groups and chunks."""
+    blocks = spark.createDataFrame([("p", 1, 0.0, 0.0, 1.0, 1.0, 9.0, 9.0, "a")], BLOCKS)
+    assert plan_of(pages.block_chunks(pages.merged_clusters(blocks))).count("Exchange hashpartitioning") == 2
+
+
+def test_pages_cross_batches(spark, monkeypatch):
+    """A page whose rows lie in several batches is clustered as one."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = spark.range(200).selectExpr("id % 9 as page", "id as box_id", "cast(id div 9 * 20 + if(id div 9 > 10, 100, 0) as double) as x0", "0D as y0", "cast(id div 9 * 20 + if(id div 9 > 10, 100, 0) + 9 as double) as x1", "9D as y1", "0D as width", "0D as height")
+    got = {r["box_id"]: r["cluster"] for r in chunking.clusters(rows, "page").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {i: i % 9 + (0 if i // 9 <= 10 else 99) for i in range(200)}
