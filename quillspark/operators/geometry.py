@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Differences of positions that numpy takes at a time.
+DIFFERENCES = 200_000
+
 
 def axes(marks: DataFrame, page: str, line: str, tolerance: float, least: int) -> DataFrame:
     """marks with axis: chains of marks whose `line` follows within tolerance; chains under `least` marks go."""
@@ -18,16 +25,41 @@ def vote_shift(a: DataFrame, b: DataFrame, pair: str, tolerance: float, least: i
     """The shift per pair of sheets that most position differences agree on.
 
     A difference votes for its bin and both neighbours; the winner needs `least` votes and `margin` more than the best
-    bin that isn't next to it. a and b: pair, position. A sheet has tens of lines, so a pair has few differences.
+    bin that isn't next to it. a and b: pair, position. A sheet has tens of lines, so a pair has few differences: a pair
+    is one row on the way, and differences and votes never leave it.
     """
-    differences = a.select(pair, F.col("position").alias("pa")).join(b.select(pair, F.col("position").alias("pb")), pair).select(pair, (F.col("pb") - F.col("pa")).alias("d"))
-    bins = differences.select(pair, "d", F.explode(F.array(*[(F.bround(F.col("d") / tolerance) + k).cast("bigint") for k in (-1, 0, 1)])).alias("bin"))
-    votes = bins.groupBy(pair, "bin").agg(F.count("*").alias("votes"), F.avg("d").alias("shift"))
-    w = Window.partitionBy(pair).orderBy(F.desc("votes"), "bin")
-    best = votes.withColumn("place", F.row_number().over(w)).filter("place = 1").select(pair, F.col("bin").alias("best"), F.col("votes").alias("most"), "shift")
-    rest = votes.join(best.select(pair, "best"), pair).filter(F.abs(F.col("bin") - F.col("best")) > 2).groupBy(pair).agg(F.max("votes").alias("second"))
-    joined = best.join(rest, pair, "left").withColumn("second", F.coalesce("second", F.lit(0)))
-    return joined.filter((F.col("most") >= least) & (F.col("most") >= F.col("second") + margin)).select(pair, F.round("shift", 6).alias("shift"), F.col("most").alias("votes"), "second")
+
+    def chosen(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pairs (numbers, ascending), the shift, votes and second most votes of each, from all differences of some pairs."""
+        bins = (np.rint(d / tolerance).astype(np.int64)[:, None] + np.array([-1, 0, 1])).ravel()
+        at, d = np.repeat(at, 3), np.repeat(d, 3)
+        order = np.lexsort((bins, at))
+        at, bins, d = at[order], bins[order], d[order]
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (bins[1:] != bins[:-1])])
+        votes = np.diff(np.r_[first, len(at)])
+        at, bins, shift = at[first], bins[first], np.add.reduceat(d, first) / votes
+        order = np.lexsort((bins, -votes, at))
+        best = order[np.r_[True, at[order][1:] != at[order][:-1]]]
+        pairs, own = np.unique(at, return_inverse=True)
+        second = np.zeros(len(pairs), np.int64)
+        np.maximum.at(second, own, np.where(np.abs(bins - bins[best][own]) > 2, votes, 0))
+        return pairs, shift[best], votes[best], second
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ends = np.cumsum([len(x) * len(y) for x, y in zip(pdf["pa"], pdf["pb"], strict=True)])
+            low = 0
+            while low < len(pdf):
+                # pairs up to so many differences, one at least
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + DIFFERENCES, side="right")))
+                each = [np.subtract.outer(y, x).ravel() for x, y in zip(pdf["pa"][low:high], pdf["pb"][low:high], strict=True)]
+                pairs, shift, votes, second = chosen(np.repeat(np.arange(low, high), [len(x) for x in each]), np.concatenate(each))
+                yield pd.DataFrame({pair: pdf[pair].to_numpy()[pairs], "shift": shift, "most": votes, "second": second})
+                low = high
+
+    listed = lambda df, name: df.groupBy(pair).agg(F.collect_list(F.col("position").cast("double")).alias(name)).filter(F.size(name) > 0)
+    voted = listed(a, "pa").join(listed(b, "pb"), pair).mapInPandas(run, f"`{pair}` {a.schema[pair].dataType.simpleString()}, shift double, most bigint, second bigint")
+    return voted.filter((F.col("most") >= least) & (F.col("most") >= F.col("second") + margin)).select(pair, F.round("shift", 6).alias("shift"), F.col("most").alias("votes"), "second")
 
 
 def nearest(points: DataFrame, targets: DataFrame, page: str, reach: float) -> DataFrame:
