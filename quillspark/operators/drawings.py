@@ -100,8 +100,8 @@ def schedule_rows(marks: DataFrame, gap: float, least: int = 3) -> DataFrame:
     w = Window.partitionBy("page", "family", "left").orderBy("y", "mark_id")
     new = (F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(gap + 1)) > gap).cast("int")
     chains = marks.withColumn("new", new).withColumn("chain", F.sum("new").over(w)).drop("new")
-    kept = chains.groupBy("page", "family", "left", "chain").agg(F.countDistinct("text").alias("n")).filter(F.col("n") >= least)
-    return chains.join(kept.drop("n"), ["page", "family", "left", "chain"], "left_semi").drop("chain")
+    texts = F.size(F.collect_set("text").over(Window.partitionBy("page", "family", "left", "chain")))
+    return chains.withColumn("n", texts).filter(F.col("n") >= least).drop("chain", "n")
 
 
 def spacing_differences(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import drawings
-from ..sources.tables import table
+from ..sources.tables import table, tasks_for
 from .queries import query
 
 
@@ -78,7 +78,9 @@ def shared_grid_lines(spark, d):
 
 @query("with m as (select l_suppkey as page, l_returnflag as family, l_linenumber as left_, l_orderkey as mark_id, cast(l_orderkey as double) as y, l_partkey % 5 as text from lineitem group by all), l as (select *, case when coalesce(y - lag(y) over w, 301) > 300 then 1 else 0 end as new from m window w as (partition by page, family, left_ order by y, mark_id, text)), c as (select *, sum(new) over (partition by page, family, left_ order by y, mark_id, text rows unbounded preceding) as chain from l), k as (select page, family, left_, chain from c group by all having count(distinct text) >= 3) select page, family, cast(left_ as int) as \"left\", mark_id, text from c semi join k using (page, family, left_, chain)")
 def schedule_rows(spark, d):
-    marks = table(spark, d, "lineitem").selectExpr("l_suppkey as page", "l_returnflag as family", "l_linenumber as left", "l_orderkey as mark_id", "cast(l_orderkey as double) as y", "l_partkey % 5 as text").distinct()
+    # distinct rows, chains and their texts by one shuffle, over as many tasks as the rows need
+    lines = table(spark, d, "lineitem")
+    marks = lines.selectExpr("l_suppkey as page", "l_returnflag as family", "l_linenumber as left", "l_orderkey as mark_id", "cast(l_orderkey as double) as y", "l_partkey % 5 as text").repartition(tasks_for(lines), "page", "family", "left").distinct()
     return drawings.schedule_rows(marks, 300.0).select("page", "family", "left", "mark_id", "text")
 
 

@@ -20,3 +20,14 @@ def test_votes_never_leave_their_pair(spark):
     got = geometry.vote_shift(lines, lines.selectExpr("pair", "position + 7 as position"), "pair", 2.0)
     assert "Generate" not in plan_of(got) and plan_of(got).count("Exchange hashpartitioning") == 2
     assert [tuple(r) for r in got.collect()] == [("p", 7.0, 4, 1)]
+
+
+def test_schedule_rows_take_one_shuffle(spark):
+    marks = spark.createDataFrame([("s", "PC", 0, i, 10.0 * i + (900 if i > 3 else 0), f"t{i % 3 if i < 4 else 0}") for i in range(8)], "page string, family string, left int, mark_id int, y double, text string")
+    got = drawings.schedule_rows(marks, 300.0)
+    assert plan_of(got).count("Exchange hashpartitioning") == 1
+    assert sorted(r["mark_id"] for r in got.collect()) == [0, 1, 2, 3]
+
+
+def test_schedule_rows_are_dealt_by_their_number(spark, small):
+    assert "REPARTITION_BY_NUM" in plan_of(queries.QUERIES["schedule_rows"](spark, small))
