@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domain, headings, text
 from ..operators import merge, numbering, retrieval
-from ..sources.tables import table
+from ..sources.tables import table, tasks_for
 from ..streaming import jobs
 from .queries import query
 
@@ -73,9 +73,12 @@ def heading_scores(spark, d):
 
 @query("select p_partkey, concat('FOUNDATION PLANS ', upper(p_name), ' AREA') as title, 1 + case when upper(p_name) like '%WIDGET%' then 1 else 0 end as score from part")
 def sheet_titles(spark, d):
+    # a file of few bytes is one task, but its rows are much work
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_name")
+    part = part.repartition(tasks_for(part, 200_000))
     block = F.expr("concat('ACME  SHEET NO A', p_size, '\\n sheet title FOUNDATION PLANS ', upper(p_name), ' S-', p_partkey, ' AREA © 2020 ACME')")
     title = headings.sheet_title(block, F.expr("concat('S-', p_partkey)"))
-    return table(spark, d, "part").select("p_partkey", title.alias("title"), headings.title_score(title, F.array(F.lit("PLAN"), F.lit("WIDGET"), F.lit("ROOF"))).alias("score"))
+    return part.select("p_partkey", title.alias("title")).select("p_partkey", "title", headings.title_score(F.col("title"), F.array(F.lit("PLAN"), F.lit("WIDGET"), F.lit("ROOF"))).alias("score"))
 
 
 @query("""select p_partkey, concat('EF-', p_size) as tag, 'CFM' as unit, round(p_size + 0.5, 6) as value from part where p_partkey % 3 < 2 union all
@@ -115,7 +118,9 @@ def _boxes(spark, d):
 def covered_blocks(spark, d):
     tables = table(spark, d, "orders").filter("o_orderkey % 2 = 0").selectExpr("o_orderkey as page", "10D as tx0", "30D as tx1", "5D as ty0", "25D as ty1")
     box, other = {k: F.col(k) for k in ("x0", "x1", "y0", "y1")}, {k: F.col(f"t{k}") for k in ("x0", "x1", "y0", "y1")}
-    joined = _boxes(spark, d).join(tables, "page", "left").withColumn("share", headings.covered_share(box, other))
+    # a page's boxes are grouped where they met its tables: as many tasks as the boxes need
+    boxes, tasks = _boxes(spark, d), tasks_for(table(spark, d, "lineitem"))
+    joined = boxes.repartition(tasks, "page").join(tables.repartition(tasks, "page"), "page", "left").withColumn("share", headings.covered_share(box, other))
     return joined.groupBy("page", "box", "l_linenumber").agg((F.max("share") >= 0.5).alias("covered"))
 
 

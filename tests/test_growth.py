@@ -31,3 +31,15 @@ def test_schedule_rows_take_one_shuffle(spark):
 
 def test_schedule_rows_are_dealt_by_their_number(spark, small):
     assert "REPARTITION_BY_NUM" in plan_of(queries.QUERIES["schedule_rows"](spark, small))
+
+
+def test_titles_are_worked_out_once_and_on_all_cores(spark, small):
+    title = headings.sheet_title(F.col("c"), F.col("s"))
+    rows = spark.createDataFrame([("A sheet title ROOF S-1 PLAN © x", "S-1"), ("bare", "")], "c string, s string")
+    assert plan_of(rows.select(title.alias("t"))).count("SHEET TITLE") == 1
+    assert [r["t"] for r in rows.select(title.alias("t")).collect()] == ["ROOF PLAN", "bare"]
+    assert "REPARTITION_BY_NUM" in plan_of(queries.QUERIES["sheet_titles"](spark, small))
+
+
+def test_covered_blocks_are_dealt_by_their_number(spark, small):
+    assert plan_of(queries.QUERIES["covered_blocks"](spark, small)).count("REPARTITION_BY_NUM") == 2
