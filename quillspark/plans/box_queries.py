@@ -16,8 +16,7 @@ NUMBERED = "n as (select *, row_number() over (partition by l_orderkey order by
 def merged_clouds(spark, d):
     """Clouds in a row, every third step a far one: neighbours become one."""
     left = F.col("k") * 12.0 + F.floor(F.col("k") / 3) * 100
-    lines = _numbered(spark, d).join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"])
-    clouds = lines.select(F.col("l_orderkey").alias("page"), "k", left.alias("x0"), (F.col("l_discount") * 10).alias("y0"), (left + 8).alias("x1"), (F.col("l_discount") * 10 + 6 + F.col("l_tax")).alias("y1"))
+    clouds = _numbered(spark, d, "l_discount", "l_tax").select(F.col("l_orderkey").alias("page"), "k", left.alias("x0"), (F.col("l_discount") * 10).alias("y0"), (left + 8).alias("x1"), (F.col("l_discount") * 10 + 6 + F.col("l_tax")).alias("y1"))
     return boxes.merged(clouds, "page", "k", 5.0).select("page", *[F.round(e, 6).alias(e) for e in boxes.EDGES], "n")
 
 

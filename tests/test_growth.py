@@ -43,3 +43,20 @@ def test_titles_are_worked_out_once_and_on_all_cores(spark, small):
 
 def test_covered_blocks_are_dealt_by_their_number(spark, small):
     assert plan_of(queries.QUERIES["covered_blocks"](spark, small)).count("REPARTITION_BY_NUM") == 2
+
+
+def test_pages_of_a_batch_are_merged_as_each_alone(monkeypatch):
+    """Numpy takes the boxes of many pages in one go; large pages and small runs of pairs give the same."""
+    monkeypatch.setattr(boxes, "_per_page", lambda rows, page, key, work, counted: work)
+    r = np.random.default_rng(4)
+    sizes = [1, 2, 3, 5, 8, 40, 3, 3, 60]
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    low = r.integers(-150, 150, (len(at), 2)).astype(float)
+    rows = np.hstack([low, low + r.integers(0, 40, (len(at), 2))])
+    for work in (boxes.merged(None, "p", "k", 5.0), boxes.merged(None, "p", "k", 5.0, 2000.0), boxes.symbols(None, "p")):
+        alone = [(k, *map(float, b), int(n)) for k in range(len(sizes)) for b, n in zip(*work(rows[at == k].copy(), at[at == k])[:2], strict=True)]
+        for pairs in (30, 1_000_000):
+            monkeypatch.setattr(boxes, "BATCH_PAIRS", pairs)
+            found, counts, pages = work(rows.copy(), at)
+            assert sorted((int(k), *map(float, b), int(n)) for b, n, k in zip(found, counts, pages, strict=True)) == sorted(alone)
+            assert counts.sum() == len(at)
