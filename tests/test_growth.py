@@ -60,3 +60,29 @@ def test_pages_of_a_batch_are_merged_as_each_alone(monkeypatch):
             found, counts, pages = work(rows.copy(), at)
             assert sorted((int(k), *map(float, b), int(n)) for b, n, k in zip(found, counts, pages, strict=True)) == sorted(alone)
             assert counts.sum() == len(at)
+
+
+def test_starts_take_rows_of_any_order_without_a_frame():
+    """One question to the store for a key, rows of a key sorted by time and ties, a null tie last."""
+    from pyspark.sql import Row
+    from quillspark.streaming import timers
+
+    class Store:
+        asked = 0
+
+        def get(self):
+            self.asked += 1
+
+        def update(self, values):
+            self.values = values
+
+    class Handle:
+        def registerTimer(self, ends):  # noqa: N802
+            self.ends = ends
+
+    start = timers._Start("_at", ("tie",))
+    start.handle, start.value = Handle(), Store()
+    event = lambda at, kind, tie, price=1.0: Row(_at=at, kind=kind, price=price, budget=5.0, tie=tie)
+    out = list(start.handleInputRows(("a",), iter([event(9, "scan_completed", None), event(9, "planned", 2, float("nan")), event(3, "scan_started", 1)]), None))
+    assert [tuple(r) for r in out] == [("a", "no_price", 9)]
+    assert start.value.asked == 1 and start.value.values[-1] == start.handle.ends == 9 + timers.SILENT * 1000
