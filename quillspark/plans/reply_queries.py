@@ -97,7 +97,8 @@ def look_verdicts(spark, d):
     decision = "case when o_orderkey % 7 = 0 then 'perhaps' when o_orderstatus = 'F' then 'keep' when o_orderstatus = 'O' then 'reject' else 'unclear' end"
     raw = F.expr(f"""concat('{{"decision": ', if(o_orderkey % 3 = 0, {decision}, concat('"', {decision}, '"')), ', "subject": " Order\\t', o_orderkey, ': 4\\'-0" slab ", "reason": "', o_orderpriority, '", "confidence": ', if(o_orderkey % 2 = 0, '"high"', 'true'), '}}')""")
     found = ro.objects(table(spark, d, "orders").select("o_orderkey", F.regexp_replace(raw, "\t", r"\\t").alias("raw")), "raw", "reply")
-    return found.select("o_orderkey", ro.verdict(F.col("reply")).alias("r")).filter("r is not null").select("o_orderkey", "r.decision", "r.subject", "r.reason", "r.confidence", "r.priority")
+    # a filter would work the verdict out twice
+    return found.select("o_orderkey", F.explode(F.array_compact(F.array(ro.verdict(F.col("reply"))))).alias("r")).select("o_orderkey", "r.decision", "r.subject", "r.reason", "r.confidence", "r.priority")
 
 
 @query("""with i as (select event_id, event_id % 4 as index, 'keep' as decision, 'high' as priority, event_type as subject, 'not_visible' as basis, 'e' || user_id as answered_by from events

@@ -86,3 +86,12 @@ def test_starts_take_rows_of_any_order_without_a_frame():
     out = list(start.handleInputRows(("a",), iter([event(9, "scan_completed", None), event(9, "planned", 2, float("nan")), event(3, "scan_started", 1)]), None))
     assert [tuple(r) for r in out] == [("a", "no_price", 9)]
     assert start.value.asked == 1 and start.value.values[-1] == start.handle.ends == 9 + timers.SILENT * 1000
+
+
+def test_replies_are_searched_once(spark):
+    from quillspark.functions import reply_objects as ro
+
+    found = ro.objects(spark.createDataFrame([('so: {"decision": keep, "subject": "4\'-0" slab"} ok',), ('{"decision": "keep"}',), ("none",)], "raw string"), "raw", "reply")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?s)") == 1
+    rows = found.select(ro.verdict(F.col("reply")).alias("r")).collect()
+    assert [r["r"] and (r["r"]["decision"], r["r"]["subject"]) for r in rows] == [("keep", "4'-0\" slab"), ("keep", ""), None]
