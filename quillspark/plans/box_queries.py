@@ -42,12 +42,13 @@ def _walls(spark, d):
     """Each order's lines as walls of two sheets: a third drawn alike, a third moved by a foot, a third missing."""
     lines = _numbered(spark, d).filter("k > 0")
     pos, run = F.col("k") * 50.0, F.col("l_quantity")
-    wall = lambda df, side, moved: df.select(F.concat(F.lit(side), F.col("l_orderkey").cast("string")).alias("sheet"), F.col("k").alias("wall_id"), (F.col("k") % 2 == 0).alias("horizontal"), (pos + moved).alias("pos"), run.alias("lo"), (run + 100).alias("hi"))
-    walls = wall(lines, "A", F.lit(0.0)).unionByName(wall(lines.filter("k % 3 < 2"), "B", 7 + F.when(F.col("k") % 3 == 1, 9.0).otherwise(0.0)))
+    wall = lambda side, moved, along: F.struct(F.concat(F.lit(side), F.col("l_orderkey").cast("string")).alias("sheet"), F.col("k").alias("wall_id"), (F.col("k") % 2 == 0).alias("horizontal"), (pos + moved).alias("pos"), (run + along).alias("lo"), (run + 100 + along).alias("hi"))
+    drawn = F.array(wall("A", F.lit(0.0), 0), F.when(F.col("k") % 3 < 2, wall("B", 7 + F.when(F.col("k") % 3 == 1, 9.0).otherwise(0.0), 7)))
+    walls = lines.select(F.explode(F.array_compact(drawn)).alias("w")).select("w.*")
     page = {f"{s}{e}": F.lit(v) for s in "ab" for e, v in zip(boxes.EDGES, (-1e4, -1e4, 1e4, 1e4), strict=True)}
-    orders = lines.select(F.col("l_orderkey").alias("window")).distinct()
+    orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("window")).distinct()
     windows = orders.withColumns({"a_sheet": F.expr("concat('A', window)"), "b_sheet": F.expr("concat('B', window)"), **page, "scale": F.lit(1.0), "tx": F.lit(7.0), "ty": F.lit(7.0), "feet": F.lit(9.0)})
-    return boxes.compared_lines(windows, walls.withColumns({c: F.when(F.col("sheet").startswith("B"), F.col(c) + 7).otherwise(F.col(c)) for c in ("lo", "hi")}))
+    return boxes.compared_lines(windows, walls)
 
 
 @query(f"with {NUMBERED} select l_orderkey as window, count(*) as n_a, count(*) filter (where k % 3 < 2) as n_b, count(*) filter (where k % 3 = 0) as matched_a, count(*) filter (where k % 3 = 0) as matched_b from n group by 1")
