@@ -26,14 +26,15 @@ UNICODE = "(?U)"
 
 
 def occurrences(upper: Column, pattern: str, context: bool = True) -> Column:
-    """array<struct<token, start, end, before, after>> of a pattern's matches, places from 0; in one pass over the text.
+    """array<struct<token, start, end, before, after>> of a pattern's matches, places from 0.
 
-    Without context, before and after are left out.
+    Without context, before and after are left out. The text is never split by the pattern: split would compile it anew
+    for each row.
     """
 
-    def placed(parts: Column, tokens: Column) -> Column:
-        # between the matches stand the parts: their lengths add up to the places
-        steps = F.zip_with(F.slice(parts, 1, F.size(tokens)), tokens, lambda p, t: F.struct(F.length(p).alias("gap"), F.length(t).alias("size"), t.alias("token")))
+    def placed(gaps: Column, tokens: Column) -> Column:
+        # before each match stands a gap: their lengths add up to the places
+        steps = F.zip_with(gaps, tokens, lambda p, t: F.struct(F.length(p).alias("gap"), F.length(t).alias("size"), t.alias("token")))
         first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
 
         def step(state: Column, x: Column) -> Column:
@@ -43,7 +44,9 @@ def occurrences(upper: Column, pattern: str, context: bool = True) -> Column:
 
         return F.aggregate(steps, first, step, lambda s: s["out"])
 
-    found = let(F.split(upper, UNICODE + pattern, -1), lambda parts: let(F.regexp_extract_all(upper, F.lit(UNICODE + pattern), 0), lambda tokens: placed(parts, tokens)))
+    # each match starts where the last one ended, so that the search stops at the text's end
+    gap_and_token = F.lit(rf"{UNICODE}\G((?s:.*?))({pattern})")
+    found = placed(F.regexp_extract_all(upper, gap_and_token, 1), F.regexp_extract_all(upper, gap_and_token, 2))
     if not context:
         return found
     beside = lambda o: o.withField("before", F.substr(upper, F.greatest(o["start"] - BESIDE, F.lit(0)) + 1, F.least(o["start"], F.lit(BESIDE)))).withField("after", F.substr(upper, o["end"] + 1, F.lit(BESIDE)))

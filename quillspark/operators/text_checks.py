@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contexts, headings
 from . import checks, drawings
 
 
-def different_quantities(ratings: DataFrame) -> DataFrame:
-    """tag, unit whose values are different quantities rather than a disagreement.
+#: The words of QUANTITIES as bits, and each group's bits.
+_BITS = {word: 1 << k for k, word in enumerate(word for group in contexts.QUANTITIES for word in group)}
+_GROUPS = [sum(_BITS[word] for word in group) for group in contexts.QUANTITIES]
+
+
+def _different_quantities() -> Column:
+    """Whether the values of a tag and unit, grouped, are different quantities rather than a disagreement.
 
     In one group of qualifiers every occurrence of every value names exactly one member, and two values name different
-    ones. Occurrences are counted by value and group before anything meets.
+    ones. some, every: the bits that one occurrence of a value has, and all of them have.
     """
-    groups = F.array(*[F.array(*map(F.lit, g)) for g in contexts.QUANTITIES])
-    named = ratings.withColumn("value", F.round("value", 3)).select("tag", "unit", "value", "qualifiers", F.posexplode(groups).alias("group", "members"))
-    own = F.array_intersect("qualifiers", "members")
-    per_value = named.select("tag", "unit", "value", "group", own.alias("own")).groupBy("tag", "unit", "value", "group").agg(F.min(F.size("own")).alias("least"), F.max(F.size("own")).alias("most"), F.min(F.get("own", F.lit(0))).alias("first"), F.max(F.get("own", F.lit(0))).alias("last"))
-    one = (F.col("least") == 1) & (F.col("most") == 1) & (F.col("first") == F.col("last"))
-    per_group = per_value.groupBy("tag", "unit", "group").agg(F.min(F.when(one, 1).otherwise(0)).alias("all_one"), F.min("first").alias("low"), F.max("first").alias("high"))
-    return per_group.filter("all_one = 1 and low < high").select("tag", "unit").distinct()
+    said = [(F.col("some").bitwiseAND(bits), F.col("every").bitwiseAND(bits)) for bits in _GROUPS]
+    return reduce(Column.__or__, [F.bool_and((some == every) & (F.bit_count(some) == 1)) & (F.min(some) < F.max(some)) for some, every in said])
 
 
 def tag_value_conflicts(chunks: DataFrame) -> DataFrame:
-    """Tags that sheets rate differently, from chunks (page_id, text)."""
-    ratings = chunks.select(F.col("page_id").alias("sheet"), F.explode(contexts.rated_tags(F.col("text"))).alias("r")).select("sheet", "r.*")
-    return checks.tag_value_conflicts(ratings.join(different_quantities(ratings), ["tag", "unit"], "left_anti"))
+    """Tags that sheets rate differently, from chunks (page_id, text): what `checks.tag_value_conflicts` finds in them.
+
+    Texts are read once, and ratings shuffled once, by tag, unit and sheet; a sheet counts where its first rating stands,
+    and for a value where the first of these does.
+    """
+    ratings = chunks.select(F.col("page_id").alias("sheet"), F.explode(contexts.rated_tags(F.col("text"))).alias("r"))
+    bits = reduce(Column.bitwiseOR, [F.when(F.array_contains("r.qualifiers", word), bit).otherwise(0) for word, bit in _BITS.items()])
+    valued = ratings.select("sheet", "r.tag", "r.unit", F.round("r.value", 3).alias("value"), bits.alias("bits"))
+    on_sheet = Window.partitionBy("tag", "unit", "sheet").orderBy("value")
+    known, before = F.col("sheet").isNotNull(), F.lag("value").over(on_sheet)
+    counted = valued.withColumns({"new_sheet": (known & before.isNull()).cast("int"), "new_value": (known & ~before.eqNullSafe(F.col("value"))).cast("int")})
+    per_value = counted.groupBy("tag", "unit", "value").agg(F.sum("new_sheet").alias("new_sheets"), F.sum("new_value").alias("sheets"), F.bit_or("bits").alias("some"), F.bit_and("bits").alias("every"))
+    per_tag = per_value.groupBy("tag", "unit").agg(F.count("*").alias("n_values"), F.sum("new_sheets").alias("n_sheets"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("sheets").alias("most"), _different_quantities().alias("different"))
+    found = per_tag.filter("n_values >= 2 and n_sheets >= 2 and not different")
+    return found.select("tag", "unit", "n_values", "n_sheets", "low", "high", F.when(F.col("most") >= 2, "high").otherwise("medium").alias("confidence"))
 
 
 def drawn_marks(chunks: DataFrame) -> DataFrame:
