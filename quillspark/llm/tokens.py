@@ -22,7 +22,8 @@ from __future__ import annotations
 import os
 import re
 import struct
-from itertools import pairwise
+from itertools import chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 
@@ -40,10 +41,8 @@ END_MARK = "<|endoftext|>"
 #: What every special token starts with.
 MARK_START = b"<|"
 
-# Latin letters and then ASCII punctuation: both pre-tokenizers cut between the two.
-_LETTERS = rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+"
-_WORD_AND_MARKS = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]+)")
-_WORD = re.compile(_LETTERS)
+# Latin letters and then ASCII punctuation, if any: both pre-tokenizers cut between the two.
+_WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]++|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])++)([!-&(-/:-@\[-`{-~]*+)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,6 +53,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_ID = attrgetter("id")
 
 
 def default_path(name: str) -> str:
@@ -106,39 +106,53 @@ class Encoder:
             out += [raw[2 * a + 2 : 2 * b] for a, b in pairwise(edges)]
         return out
 
-    def _word(self, piece: bytes) -> bytes:
-        """The ids of Latin letters, with the space before them, if any."""
-        if piece.isascii():
-            letters = piece.decode().replace(" ", _BYTE_LETTERS[0x20])
+    def _words(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of Latin letters, with the space before them, if any."""
+        if not pieces:
+            return []
+        text = b"\n".join(pieces)
+        if text.isascii():
+            letters = text.decode().replace(" ", _BYTE_LETTERS[0x20]).split("\n")
         else:
-            whole = piece if self.keep_space else piece.decode().lower().encode()
-            letters = whole.decode("latin-1").translate(_BYTE_LETTERS)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}H", *ids)
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Brings these pieces into the younger memory; letters and marks are looked up apart."""
+            whole = text if self.keep_space else text.decode().lower().encode()
+            letters = whole.decode("latin-1").translate(_BYTE_LETTERS).split(_BYTE_LETTERS[0x0A])
+        found = [list(map(_ID, self.model.tokenize(x))) for x in letters]
+        raw = np.fromiter(chain.from_iterable(found), np.uint16).tobytes()
+        edges = np.cumsum([0, *map(len, found)]) * 2
+        return [raw[a:b] for a, b in pairwise(edges.tolist())]
+
+    def _learn(self, new: set[bytes]) -> set[bytes]:
+        """Brings these pieces into the younger memory; letters and marks are looked up apart.
+
+        Gives those that touch white space: they aren't learned.
+        """
         old, young = self.old, self.young
-        young.update((x, old[x]) for x in pieces & old.keys())
-        cut, apart = {}, []
-        for x in pieces.difference(young):
+        known = new & old.keys()
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
+        plain, wide, others, cut, odd = [], [], [], [], set()
+        for x in new - known if known else new:
             m = _WORD_AND_MARKS.fullmatch(x, x[:1] == b" ")
             if m:
-                cut[x] = (x[: m.end(1)], m[2])
-            else:
-                apart.append(x)
-        more = {y for xs in cut.values() for y in xs}.difference(young, apart)
-        young.update((y, old[y]) for y in more & old.keys())
-        apart += more.difference(young)
-        others = []
-        for x in apart:
-            if _WORD.fullmatch(x, x[:1] == b" "):
-                young[x] = self._word(x)
+                end = m.end(1)
+                if end < len(x):
+                    cut.append((x, x[:end], x[end:]))
+                else:
+                    (plain if x.isascii() else wide).append(x)
+            elif self.keep_space and _touches_space(x):
+                odd.add(x)
             else:
                 others.append(x)
+        more = {y for _, *xy in cut for y in xy}.difference(young, plain, wide, others)
+        again = more & old.keys()
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        for y in more - again:
+            (others if not _WORD_AND_MARKS.fullmatch(y, y[:1] == b" ") else plain if y.isascii() else wide).append(y)
+        young.update(zip(plain, self._words(plain), strict=True))
+        young.update(zip(wide, self._words(wide), strict=True))
         young.update(zip(others, self._joined(others), strict=True))
-        young.update((x, young[a] + young[b]) for x, (a, b) in cut.items())
-        self.long += [x for x in pieces | more if len(x) > MEMORY_PIECE_BYTES]
+        young.update((x, young[a] + young[b]) for x, a, b in cut)
+        self.long += [x for x in chain(plain, wide, others, (x for x, _, _ in cut)) if len(x) > MEMORY_PIECE_BYTES]
+        return odd
 
     def _split(self, data: bytes) -> list[bytes]:
         if not self.keep_space:
@@ -156,10 +170,8 @@ class Encoder:
         raw = [text.encode() for text in texts]
         marked = [MARK_START in data for data in raw]
         split = [[] if m else self._split(data) for data, m in zip(raw, marked, strict=True)]
-        new = set().union(*split).difference(young)
-        odd = set(filter(_touches_space, new)) if self.keep_space else set()
+        odd = self._learn(set().union(*split).difference(young))
         apart = [m or not odd.isdisjoint(words) for m, words in zip(marked, split, strict=True)] if odd else marked
-        self._learn(new - odd)
         whole = iter(self._whole([t for t, x in zip(texts, apart, strict=True) if x]))
         out = [np.frombuffer(next(whole) if x else b"".join(map(young.__getitem__, words)), np.uint16) for words, x in zip(split, apart, strict=True)]
         for w in self.long:
