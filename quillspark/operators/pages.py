@@ -74,9 +74,9 @@ def _merging() -> Callable:
 def merged_clusters(blocks: DataFrame) -> DataFrame:
     """blocks with tokens, cluster and, of its cluster, size, sides, page's limit and place: (row band, x0) of its first block.
 
-    Rows lie together by page, in the order in which block_chunks() folds them.
+    Blocks are grouped by their places on every page, however many it has. Rows lie together by page, in the order in which block_chunks() folds them.
     """
-    each = chunking.clusters(blocks, "page", box_id="block_id").withColumn("tokens", text.estimated_tokens(F.col("text")))
+    each = chunking.clusters(blocks, "page", box_id="block_id", whole=True).withColumn("tokens", text.estimated_tokens(F.col("text")))
     w = Window.partitionBy("page", "cluster")
     corners = {f"c{c}": f(c).over(w) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))}
     limit = F.coalesce(F.first(F.col("width") * F.col("height") * AREA_SHARE).over(w), F.lit(0.0))

@@ -143,3 +143,37 @@ def test_pages_cross_batches(spark, monkeypatch):
     got = {r["box_id"]: r["cluster"] for r in chunking.clusters(rows, "page").collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {i: i % 9 + (0 if i // 9 <= 10 else 99) for i in range(200)}
+
+
+def test_crowded_pages_are_grouped_too(spark, monkeypatch):
+    """Chunks don't depend on how many boxes count as many, nor on the batches that a page's rows come in."""
+    made = {f"p{s}": random_blocks(s + 20, 8 + 15 * s) for s in range(5)}
+    rows = [(p, b[0], *b[1:5], 1000.0, 800.0, b[5]) for p, bs in made.items() for b in bs]
+    blocks, none = spark.createDataFrame(rows, BLOCKS), spark.createDataFrame([], TABLES)
+    want = sorted((p, text, tokens(text)) for p, bs in made.items() for text, _ in plain_chunks(bs, 1000, 800))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most, batch in ((4000, "10000"), (20, "10000"), (20, "7"), (1, "7")):
+        monkeypatch.setattr(chunking, "PAGE_BOXES", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = pages.page_chunks(blocks, none).collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted((r["page"], r["text"], r["tokens"]) for r in got) == want, (most, batch)
+
+
+def test_stretches_lose_no_neighbour():
+    """The sweep against all pairs: boxes of all shapes, equal places, sides out of order or unknown."""
+    r, nan = random.Random(11), float("nan")
+    for trial in range(400):
+        side = lambda: float(r.randrange(60)) if r.random() > 0.03 else nan  # noqa: B023, E731
+        boxes = [(x, y, x + r.choice([0, 1, 3, 9, 40, -2]), y + r.choice([0, 1, 3, 9, 40, *([-2, nan] if trial % 2 else [])])) for x, y in ((side(), side() if trial % 2 else float(r.randrange(60))) for _ in range(r.randrange(2, 60)))]
+        boxes.sort(key=lambda b: (b[0] != b[0], b[0]))
+        found = chunking.Near(reach := r.choice([0.0, 1.0, 2.5]))
+        for i, b in enumerate(boxes):
+            found.add(*b, i)
+        label = list(range(len(boxes)))
+        for i, b in enumerate(boxes):
+            for j, c in enumerate(boxes[:i]):
+                if c[2] + reach >= b[0] and max(0.0, c[1] - b[3], b[1] - c[3]) <= reach:
+                    old, new = sorted((label[i], label[j]), reverse=True)
+                    label = [new if x == old else x for x in label]
+        assert found.found() == label, (trial, boxes)
